@@ -16,7 +16,7 @@ def build(app: str = "tidemark", master: str | None = None, partitions: int | No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
