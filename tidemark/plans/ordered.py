@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import cut
+
 SLICE = "__slice"
 
 
@@ -37,8 +39,8 @@ def sliced(df: DataFrame, value: str) -> DataFrame:
 
 def running(freq: DataFrame, value: str, keys: Sequence[str] = (), counts: Sequence[str] = ("n",)) -> DataFrame:
     """Add for every count column c: `c_below` (sum over smaller values of the key) and `c_total`."""
-    cut = sliced(freq, value)
-    per_slice = cut.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"{c}_slice") for c in counts])
+    parted = sliced(freq, value)
+    per_slice = parted.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"{c}_slice") for c in counts])
     # at most one row per slice and key
     lower = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -49,7 +51,7 @@ def running(freq: DataFrame, value: str, keys: Sequence[str] = (), counts: Seque
         *[F.sum(f"{c}_slice").over(whole).alias(f"{c}_total") for c in counts],
     )
     inner = Window.partitionBy(*keys, SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(offsets, [*keys, SLICE])
+    out = parted.join(offsets, [*keys, SLICE])
     for c in counts:
         out = out.withColumn(f"{c}_below", F.col(f"{c}_before") + F.coalesce(F.sum(c).over(inner), F.lit(0)))
     return out.drop(SLICE, *[f"{c}_before" for c in counts])
@@ -88,3 +90,30 @@ def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFr
     """One row per distinct value with its average rank (1-based) and the tie size `n`."""
     r = running(frequencies(df, value, keys), value, keys)
     return r.select(*keys, value, "n", "n_total", (F.col("n_below") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def sorted_codes(df: DataFrame, col: str, out: str) -> DataFrame:
+    """One row per distinct non-null value with its 0-based position in sorted order.
+
+    The distinct values are range-partitioned and checkpointed, which fixes the partitions; each
+    partition is numbered on its own and shifted by the sizes of the ones before it."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    fixed = cut(values.repartitionByRange(parts, col)).withColumn("__part", F.spark_partition_id())
+    sizes = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # one row per partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(col))
+    return fixed.join(offsets, "__part").select(col, (F.col("__offset") + local - 1).alias(out))
+
+
+def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+    """Statistics of each row's group next to the row: aggregate (map-side combined), then join the
+    one-row-per-group result back, so a hot group never sits in one task."""
+    stats = df.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(*[c.alias(n) for n, c in aggs.items()])
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"__g{i}"))
+        on = same if on is None else on & same
+    return df.join(stats, on, "left").drop(*[f"__g{i}" for i in range(len(keys))])
