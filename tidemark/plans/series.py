@@ -5,6 +5,8 @@ A key may hold a large share of all rows, so no window here is partitioned by th
 * `with_ordinal` numbers the rows of a key through per-time-span counts,
 * `row_frame` runs row-bounded frames inside blocks of consecutive rows plus a halo,
 * `time_frame` runs time-bounded frames inside time blocks plus a halo,
+* `sliding` gives sums, extremes and first values of trailing time frames in one growing pass: rows
+  enter at their time and leave one span later, so the cost per row does not depend on the frame,
 * `with_known` carries the last / next known value across time spans.
 """
 
@@ -82,12 +84,74 @@ def time_frame(
     width = max(span_seconds, block_seconds or 6 * 3600) * 1_000_000
     reach = span_seconds * 1_000_000
     back = reach - 1 if open_left else reach
-    o = df.withColumn("__us", F.unix_micros(time)).withColumn(HOME, F.floor(F.col("__us") / width))
-    o = o.withColumn(BLOCK, F.explode(F.array_distinct(F.array(F.col(HOME), F.floor((F.col("__us") + back) / width)))))
+    o = df.withColumn("__us", F.unix_micros(time)).withColumn(HOME, whole(F.col("__us"), width))
+    o = o.withColumn(BLOCK, F.explode(F.array_distinct(F.array(F.col(HOME), whole(F.col("__us") + back, width)))))
     w = Window.partitionBy(*keys, BLOCK).orderBy("__us").rangeBetween(-back, 0)
     return o.withColumns(compute(w)).where(F.col(BLOCK) == F.col(HOME)).drop("__us", HOME, BLOCK)
 
 
+def whole(x: Column, width: int) -> Column:
+    """Exact integer floor(x / width) of a long column."""
+    return ((x - F.pmod(x, F.lit(width))) / width).cast("bigint")
+
+
+def sliding(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    seconds: int,
+    sums: dict[str, Column],
+    leaving: dict[str, Column] | None = None,
+    extremes: dict[str, tuple[Column, str]] | None = None,
+    firsts: dict[str, Column] | None = None,
+    open_left: bool = True,
+) -> DataFrame:
+    """Add trailing-frame results over (t - span, t] (or [t - span, t]) at constant cost per row.
+
+    A frame is the part of the previous block that has not left yet plus the current block up to the
+    row. The previous block enters as one opening row with its totals and each of its rows as a
+    leaving row, so all results are running sums, running extremes, or the last value seen.
+    `leaving` replaces a sum's expression for rows of the previous block."""
+    extremes, firsts = extremes or {}, firsts or {}
+    gone = {n: (leaving or {}).get(n, c) for n, c in sums.items()}
+    reach = seconds * 1_000_000 + (0 if open_left else 1)
+    base = df.withColumn("__us", F.unix_micros(time))
+    base = base.withColumn(BLOCK, whole(F.col("__us"), reach))
+    zero = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
+    lost = {n: F.coalesce(c, F.lit(0)) for n, c in gone.items()}
+    pick = {"min": F.min, "max": F.max}
+
+    entering = base.select(
+        *df.columns, BLOCK, F.col("__us").alias("__at"), F.lit(1).alias("__kind"),
+        *[c.alias(f"__d_{n}") for n, c in zero.items()], *[c.alias(f"__v_{n}") for n, (c, _) in extremes.items()],
+        *[c.alias(f"__v_{n}") for n, c in firsts.items()])
+
+    later = Window.partitionBy(*keys, BLOCK).orderBy(-F.col("__us")).rangeBetween(Window.unboundedPreceding, -1)
+    leave = base.select(
+        *keys, (F.col(BLOCK) + 1).alias(BLOCK), (F.col("__us") + reach).alias("__at"), F.lit(0).alias("__kind"),
+        *[(-c).alias(f"__d_{n}") for n, c in lost.items()],
+        *[F.struct(pick[how](c).over(later).alias("v")).alias(f"__s_{n}") for n, (c, how) in extremes.items()],
+        *[F.struct(F.last(c).over(later).alias("v")).alias(f"__s_{n}") for n, c in firsts.items()])
+    opening = base.groupBy(*keys, BLOCK).agg(
+        *[F.sum(c).alias(f"__d_{n}") for n, c in lost.items()],
+        *[F.struct(pick[how](c).alias("v")).alias(f"__s_{n}") for n, (c, how) in extremes.items()],
+        *[F.struct(F.min_by(c, "__us").alias("v")).alias(f"__s_{n}") for n, c in firsts.items()])
+    opening = opening.withColumn("__at", (F.col(BLOCK) + 1) * reach - 1).withColumn(BLOCK, F.col(BLOCK) + 1).withColumn(
+        "__kind", F.lit(0))
+
+    flow = entering.unionByName(leave, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys, BLOCK).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    out = {n: F.sum(f"__d_{n}").over(upto) for n in sums}
+    for n, (_, how) in extremes.items():
+        rest = F.last(f"__s_{n}", ignorenulls=True).over(upto)["v"]
+        out[n] = (F.least if how == "min" else F.greatest)(pick[how](f"__v_{n}").over(upto), rest)
+    for n in firsts:
+        rest = F.last(f"__s_{n}", ignorenulls=True).over(upto)["v"]
+        out[n] = F.coalesce(rest, F.first(f"__v_{n}", ignorenulls=True).over(upto))
+    done = flow.withColumns({f"__o_{n}": c for n, c in out.items()}).where(F.col("__kind") == 1)
+    return done.select(*df.columns, *[F.col(f"__o_{n}").alias(n) for n in out])
+
+
 def with_known(
     df: DataFrame,
     keys: Sequence[str],

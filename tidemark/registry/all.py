@@ -1,3 +1,3 @@
 """Imports every registry module."""
 
-from tidemark.registry import aggs, features, shaping  # noqa: F401
+from tidemark.registry import aggs, features, joins, shaping, windows  # noqa: F401
