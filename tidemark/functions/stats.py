@@ -7,7 +7,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Coefficients of the error-function approximation 7.1.26 of Abramowitz and Stegun.
 _P = 0.3275911
@@ -127,33 +127,33 @@ def _rowwise(fn, *cols: pd.Series) -> pd.Series:
     return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in zip(*cols)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(chi2_sf, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _rowwise(f_sf, x, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _rowwise(normal_two_sided, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_low(k: pd.Series, n: pd.Series, level: pd.Series) -> pd.Series:
     """Lower exact confidence bound of a proportion."""
     return _rowwise(lambda a, b, c: 0.0 if a == 0 else beta_quantile((1 - c) / 2, a, b - a + 1), k, n, level)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_high(k: pd.Series, n: pd.Series, level: pd.Series) -> pd.Series:
     """Upper exact confidence bound of a proportion."""
     return _rowwise(lambda a, b, c: 1.0 if a == b else beta_quantile((1 + c) / 2, a + 1, b - a), k, n, level)

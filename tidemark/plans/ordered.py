@@ -38,8 +38,10 @@ def sliced(df: DataFrame, value: str) -> DataFrame:
 
 
 def running(freq: DataFrame, value: str, keys: Sequence[str] = (), counts: Sequence[str] = ("n",)) -> DataFrame:
-    """Add for every count column c: `c_below` (sum over smaller values of the key) and `c_total`."""
-    parted = sliced(freq, value)
+    """Add for every count column c: `c_below` (sum over smaller values of the key) and `c_total`.
+
+    The frequencies are read twice (for the slice edges and for the counts), so they are written once."""
+    parted = sliced(cut(freq), value)
     per_slice = parted.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"{c}_slice") for c in counts])
     # at most one row per slice and key
     lower = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
