@@ -1,3 +1,3 @@
 """Imports every registry module."""
 
-from tidemark.registry import aggs, drift, evaluation, features, joins, quality, shaping, tops, windows  # noqa: F401
+from tidemark.registry import aggs, drift, evaluation, features, joins, learning, quality, shaping, sources, tops, windows  # noqa: F401

@@ -14,8 +14,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+# Text form of instants, to the microsecond.
+TIME_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", TIME_TEXT).csv(path)
 
 
 def csv_to_json_lines(spark: SparkSession, source: str, path: str, schema: str) -> None:
@@ -32,7 +36,7 @@ def write_by_suffix(df: DataFrame, path: str) -> None:
 
 def append_log(df: DataFrame, path: str) -> None:
     """Append events as JSON lines."""
-    df.write.mode("append").json(path)
+    df.write.mode("append").option("timestampFormat", TIME_TEXT).json(path)
 
 
 def retraining_events(df: DataFrame, as_of: str) -> DataFrame:
