@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.stats import chi2_p, ks_p_value
 from tidemark.operators.aggs import long_form
 from tidemark.plans.ordered import quantiles, running
 from tidemark.plans.scalars import with_row
 from tidemark.plans.series import row_frame, with_ordinal
+from tidemark.session import cut
 
 
 def baseline_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
@@ -126,7 +127,8 @@ def seasonal_adjust(df: DataFrame, time: str, value: str, period: int, ties: Seq
             t = (F.sum(value).over(f) - ends / 2) / period
         return {"__trend": F.when(full, t)}
 
-    t = row_frame(o, [], time, compute, ties, before=half, after=half)
+    # read by the trend ends, the period means and the result
+    t = cut(row_frame(o, [], time, compute, ties, before=half, after=half))
     known = t.where(F.col("__trend").isNotNull()).select("__i", "__trend")
     span = known.agg(F.min("__i").alias("first"), F.max("__i").alias("last"))
     fit = [F.regr_slope("__trend", F.col("__i").cast("double")).alias("slope"), F.regr_intercept("__trend", F.col("__i").cast("double")).alias("base")]

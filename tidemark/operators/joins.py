@@ -13,6 +13,7 @@ from tidemark.plans.scalars import with_row
 from tidemark.plans.series import interpolate_time
 from tidemark.plans.spatial import nearest
 from tidemark.plans.timejoin import asof_nearest, cover_product
+from tidemark.session import cut
 
 WEATHER = ["temperature", "humidity", "wind_speed", "precipitation"]
 
@@ -83,7 +84,7 @@ def nearest_facilities(points: DataFrame, facilities: DataFrame, k: int = 3, lat
 def match_statistics(points: DataFrame, facilities: DataFrame, threshold_m: float, lat: str = "latitude", lon: str = "longitude",
                      facility: str = "facility_id") -> DataFrame:
     """Counts, rate, spread of the matched distances and percentiles over all nearest distances."""
-    all_near = points.join(nearest(points, facilities, 1, lat, lon, facility), [lat, lon])
+    all_near = cut(points.join(nearest(points, facilities, 1, lat, lon, facility), [lat, lon]).select(facility, "distance_m"))
     hit = F.col("distance_m") < threshold_m
     one = all_near.agg(
         F.count(F.lit(1)).alias("total_points"), F.count_if(hit).alias("matches_found"),

@@ -16,7 +16,7 @@ LAGS = {"1h": 1, "2h": 2, "24h": 24}
 
 
 def lags(df: DataFrame, keys: Sequence[str], time: str, value: str, steps: dict[str, int], ties: Sequence[str] = (),
-         span: str = "day") -> DataFrame:
+         span: str = "hour") -> DataFrame:
     """`value_lag_name` columns: the value so many rows earlier in the key's order."""
     return row_frame(df, keys, time, lambda w: {f"{value}_lag_{n}": F.lag(value, k).over(w) for n, k in steps.items()},
                      ties, before=max(steps.values()), span=span)
@@ -106,7 +106,7 @@ def rolling_moments(df: DataFrame, keys: Sequence[str], time: str, value: str, h
     s = sliding(
         centred, keys, time, hours * 3600,
         {"__n": F.when(y.isNotNull(), 1).otherwise(0).cast("bigint"), "__1": y, "__2": y * y, "__3": y * y * y, "__4": y * y * y * y},
-        extremes={"min": (F.col(value), "min"), "max": (F.col(value), "max")})
+        extremes={"min": (F.col(value), "min"), "max": (F.col(value), "max")}, parts=hours)
     n = F.col("__n").cast("double")
     m = F.try_divide(F.col("__1"), n)
     e2, e3, e4 = (F.try_divide(F.col(f"__{p}"), n) for p in (2, 3, 4))
@@ -186,7 +186,7 @@ def rolling_trend(df: DataFrame, keys: Sequence[str], time: str, value: str, hou
 
 def rate_of_change(df: DataFrame, keys: Sequence[str], time: str, value: str, hours: int = 24) -> DataFrame:
     """(last - first) / window hours over (t - hours, t], null below two rows."""
-    s = sliding(df, keys, time, hours * 3600, {"__n": F.lit(1).cast("bigint")}, firsts={"__first": F.col(value)})
+    s = sliding(df, keys, time, hours * 3600, {"__n": F.lit(1).cast("bigint")}, firsts={"__first": F.col(value)}, parts=hours)
     rate = F.when(F.col("__n") >= 2, (F.col(value) - F.col("__first")) / F.lit(float(hours)))
     return s.withColumn("rate_of_change", rate).drop("__n", "__first")
 
@@ -196,7 +196,7 @@ def volatility(df: DataFrame, keys: Sequence[str], time: str, value: str, hours:
     prev = row_frame(df, keys, time, lambda w: {"__prev": F.lag(value).over(w)}, ties, before=1)
     r = F.try_divide(F.col(value), F.col("__prev")) - 1
     s = sliding(prev, keys, time, hours * 3600,
-                {"__n": F.when(r.isNotNull(), 1).otherwise(0).cast("bigint"), "__r": r, "__rr": r * r})
+                {"__n": F.when(r.isNotNull(), 1).otherwise(0).cast("bigint"), "__r": r, "__rr": r * r}, parts=hours)
     n = F.col("__n").cast("double")
     var = F.try_divide(F.col("__rr") - F.try_divide(F.col("__r") * F.col("__r"), n), n - 1)
     return s.withColumn("volatility", F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))).select(*df.columns, "volatility")
@@ -295,7 +295,7 @@ def sequences(df: DataFrame, keys: Sequence[str], time: str, features: Sequence[
     return out.where(F.size("history") == length).withColumn("target", F.col(target))
 
 
-def newest(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], n: int = 1000, span: str = "day") -> DataFrame:
+def newest(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], n: int = 1000, span: str = "hour") -> DataFrame:
     """Newest n rows per key."""
     o = with_ordinal(df, keys, time, ties, span)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

@@ -28,7 +28,7 @@ def with_ordinal(
     keys: Sequence[str],
     time: str,
     ties: Sequence[str] = (),
-    span: str = "day",
+    span: str = "hour",
     name: str = ORDINAL,
 ) -> DataFrame:
     """0-based position of each row in its key's order (time, ties)."""
@@ -52,7 +52,7 @@ def row_frame(
     ties: Sequence[str] = (),
     before: int = 1,
     after: int = 0,
-    span: str = "day",
+    span: str = "hour",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add row-frame columns. `compute` gets a window ordered inside a block; its frames may reach at
@@ -105,49 +105,66 @@ def sliding(
     extremes: dict[str, tuple[Column, str]] | None = None,
     firsts: dict[str, Column] | None = None,
     open_left: bool = True,
+    parts: int = 1,
 ) -> DataFrame:
     """Add trailing-frame results over (t - span, t] (or [t - span, t]) at constant cost per row.
 
-    A frame is the part of the previous block that has not left yet plus the current block up to the
-    row. The previous block enters as one opening row with its totals and each of its rows as a
-    leaving row, so all results are running sums, running extremes, or the last value seen.
-    `leaving` replaces a sum's expression for rows of the previous block."""
+    Time is cut into blocks of span / parts. A frame is what is left of the oldest block, the whole
+    blocks between, and the current block up to the row. Each block starts with one opening row (totals
+    of the `parts` blocks before it); each row of the oldest block is a leaving row at the moment it
+    drops out. All results are then running sums, running extremes, or the last value seen, inside a
+    block of one key. `leaving` replaces a sum's expression for rows of earlier blocks (parts = 1)."""
     extremes, firsts = extremes or {}, firsts or {}
     gone = {n: (leaving or {}).get(n, c) for n, c in sums.items()}
     reach = seconds * 1_000_000 + (0 if open_left else 1)
+    if reach % parts or (leaving and parts > 1):
+        raise ValueError("the span must divide into the parts")
+    width = reach // parts
     base = df.withColumn("__us", F.unix_micros(time))
-    base = base.withColumn(BLOCK, whole(F.col("__us"), reach))
-    zero = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
-    lost = {n: F.coalesce(c, F.lit(0)) for n, c in gone.items()}
+    base = base.withColumn(BLOCK, whole(F.col("__us"), width))
     pick = {"min": F.min, "max": F.max}
 
     entering = base.select(
         *df.columns, BLOCK, F.col("__us").alias("__at"), F.lit(1).alias("__kind"),
-        *[c.alias(f"__d_{n}") for n, c in zero.items()], *[c.alias(f"__v_{n}") for n, (c, _) in extremes.items()],
-        *[c.alias(f"__v_{n}") for n, c in firsts.items()])
+        *[F.coalesce(c, F.lit(0)).alias(f"__d_{n}") for n, c in sums.items()],
+        *[c.alias(f"__v_{n}") for n, (c, _) in extremes.items()], *[c.alias(f"__v_{n}") for n, c in firsts.items()])
 
     later = Window.partitionBy(*keys, BLOCK).orderBy(-F.col("__us")).rangeBetween(Window.unboundedPreceding, -1)
     leave = base.select(
-        *keys, (F.col(BLOCK) + 1).alias(BLOCK), (F.col("__us") + reach).alias("__at"), F.lit(0).alias("__kind"),
-        *[(-c).alias(f"__d_{n}") for n, c in lost.items()],
+        *keys, (F.col(BLOCK) + parts).alias(BLOCK), (F.col("__us") + reach).alias("__at"), F.lit(0).alias("__kind"),
+        *[(-F.coalesce(c, F.lit(0))).alias(f"__d_{n}") for n, c in gone.items()],
         *[F.struct(pick[how](c).over(later).alias("v")).alias(f"__s_{n}") for n, (c, how) in extremes.items()],
         *[F.struct(F.last(c).over(later).alias("v")).alias(f"__s_{n}") for n, c in firsts.items()])
-    opening = base.groupBy(*keys, BLOCK).agg(
-        *[F.sum(c).alias(f"__d_{n}") for n, c in lost.items()],
-        *[F.struct(pick[how](c).alias("v")).alias(f"__s_{n}") for n, (c, how) in extremes.items()],
-        *[F.struct(F.min_by(c, "__us").alias("v")).alias(f"__s_{n}") for n, c in firsts.items()])
-    opening = opening.withColumn("__at", (F.col(BLOCK) + 1) * reach - 1).withColumn(BLOCK, F.col(BLOCK) + 1).withColumn(
-        "__kind", F.lit(0))
+
+    # opening rows: block totals handed to the `parts` blocks after them
+    totals = base.groupBy(*keys, BLOCK).agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(f"__t_{n}") for n, c in gone.items()],
+        *[pick[how](c).alias(f"__t_{n}") for n, (c, how) in extremes.items()],
+        *[F.min_by(c, "__us").alias(f"__t_{n}") for n, c in firsts.items()])
+    given = totals.withColumn("__from", F.col(BLOCK)).withColumn(BLOCK, F.explode(F.sequence(F.col(BLOCK) + 1, F.col(BLOCK) + parts)))
+    oldest = F.col("__from") == F.col(BLOCK) - parts
+
+    def between(c: Column) -> Column:
+        return F.when(~oldest, c)
+
+    opening = given.groupBy(*keys, BLOCK).agg(
+        *[F.sum(f"__t_{n}").alias(f"__d_{n}") for n in gone],
+        *[F.struct(pick[how](F.when(oldest, F.col(f"__t_{n}"))).alias("v")).alias(f"__s_{n}") for n, (_, how) in extremes.items()],
+        *[pick[how](between(F.col(f"__t_{n}"))).alias(f"__m_{n}") for n, (_, how) in extremes.items()],
+        *[F.struct(F.max(F.when(oldest, F.col(f"__t_{n}"))).alias("v")).alias(f"__s_{n}") for n in firsts],
+        *[F.min_by(f"__t_{n}", between(F.col("__from"))).alias(f"__m_{n}") for n in firsts])
+    opening = opening.withColumn("__at", F.col(BLOCK) * width - 1).withColumn("__kind", F.lit(0))
 
     flow = entering.unionByName(leave, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
     upto = Window.partitionBy(*keys, BLOCK).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
     out = {n: F.sum(f"__d_{n}").over(upto) for n in sums}
     for n, (_, how) in extremes.items():
         rest = F.last(f"__s_{n}", ignorenulls=True).over(upto)["v"]
-        out[n] = (F.least if how == "min" else F.greatest)(pick[how](f"__v_{n}").over(upto), rest)
+        out[n] = (F.least if how == "min" else F.greatest)(
+            pick[how](f"__v_{n}").over(upto), F.first(f"__m_{n}", ignorenulls=True).over(upto), rest)
     for n in firsts:
         rest = F.last(f"__s_{n}", ignorenulls=True).over(upto)["v"]
-        out[n] = F.coalesce(rest, F.first(f"__v_{n}", ignorenulls=True).over(upto))
+        out[n] = F.coalesce(rest, F.first(f"__m_{n}", ignorenulls=True).over(upto), F.first(f"__v_{n}", ignorenulls=True).over(upto))
     done = flow.withColumns({f"__o_{n}": c for n, c in out.items()}).where(F.col("__kind") == 1)
     return done.select(*df.columns, *[F.col(f"__o_{n}").alias(n) for n in out])
 
@@ -158,7 +175,7 @@ def with_known(
     time: str,
     known: dict[str, tuple[Column, Sequence[Column]]],
     ties: Sequence[str] = (),
-    span: str = "day",
+    span: str = "hour",
 ) -> DataFrame:
     """For every entry name -> (condition, payload columns) add `name_prev` and `name_next`: structs
     (at, payload p0, p1 ...) of the last / first row of the key, in order (time, ties) and including

@@ -1,3 +1,5 @@
 """Imports every registry module."""
 
-from tidemark.registry import aggs, drift, evaluation, features, joins, learning, quality, shaping, sources, tops, windows  # noqa: F401
+from tidemark.registry import (  # noqa: F401
+    aggs, drift, evaluation, features, joins, learning, quality, shaping, sources, streaming, tops, windows,
+)
