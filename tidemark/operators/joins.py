@@ -12,7 +12,7 @@ from tidemark.plans.ordered import quantiles
 from tidemark.plans.scalars import with_row
 from tidemark.plans.series import interpolate_time
 from tidemark.plans.spatial import nearest
-from tidemark.plans.timejoin import asof_nearest, cover_product
+from tidemark.plans.timejoin import asof_nearest, cover_product, running_cover_product
 from tidemark.session import cut
 
 WEATHER = ["temperature", "humidity", "wind_speed", "precipitation"]
@@ -48,7 +48,7 @@ def join_weather_nearest(obs: DataFrame, weather: DataFrame, time: str = "timest
 
 def event_impact(obs: DataFrame, events: DataFrame, time: str = "timestamp") -> DataFrame:
     """Product of (1 + factor) over the events that cover the time."""
-    return cover_product(obs, events, time, "start_time", "end_time", 1 + F.col("impact_factor"), "event_impact")
+    return running_cover_product(obs, events, time, "start_time", "end_time", 1 + F.col("impact_factor"), "event_impact")
 
 
 def event_impact_near(obs: DataFrame, events: DataFrame, time: str = "timestamp", radius_km: float = 2.0) -> DataFrame:

@@ -33,7 +33,7 @@ def sliced(df: DataFrame, value: str) -> DataFrame:
     edges = sorted({c for c in cuts if c is not None})
     if not edges:
         return df.withColumn(SLICE, F.lit(0.0)).drop(num)
-    cutter = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=num, outputCol=SLICE)
+    cutter = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=num, outputCol=SLICE, handleInvalid="keep")
     return cutter.transform(df).drop(num)
 
 

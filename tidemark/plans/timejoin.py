@@ -1,6 +1,6 @@
 """Joins on time: nearest as-of and interval cover.
 
-Both work on the distinct left keys and join the result back, so the size of a hot hour or a hot
+All work on the distinct left keys and join the result back, so the size of a hot hour or a hot
 location does not enter the candidate step.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.plans.series import with_known
 
@@ -37,6 +37,34 @@ def asof_nearest(left: DataFrame, right: DataFrame, time: str, right_time: str,
     return left.join(found, [*keys, time], "left")
 
 
+def running_cover_product(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, factor: Column, name: str,
+                          span: str = "hour") -> DataFrame:
+    """Add `name`: the product of `factor` (a column of the intervals) over all intervals with
+    start <= time <= end, 1 if none.
+
+    No pair of time and interval is formed: an interval multiplies from its start and divides after its
+    end. The product is carried as the sum of logarithms with counts of negative and zero factors, each
+    a running sum inside a time span plus the totals of the spans before."""
+    covered = intervals.where((F.col(start) <= F.col(end)) & factor.isNotNull()).select(F.col(start).alias("s"), F.col(end).alias("e"), factor.alias("f"))
+    size = F.when(F.col("f") != 0, F.log(F.abs("f"))).otherwise(0.0)
+    edge = [("__log", size), ("__neg", (F.col("f") < 0).cast("bigint")), ("__zero", (F.col("f") == 0).cast("bigint"))]
+    opens = covered.select(F.col("s").alias(time), F.lit(False).alias("__ask"), *[c.alias(n) for n, c in edge])
+    closes = covered.select((F.col("e") + F.expr("interval 1 microsecond")).alias(time), F.lit(False).alias("__ask"), *[(-c).alias(n) for n, c in edge])
+    asks = left.select(time).where(F.col(time).isNotNull()).distinct().select(
+        time, F.lit(True).alias("__ask"), F.lit(0.0).alias("__log"), F.lit(0).cast("bigint").alias("__neg"), F.lit(0).cast("bigint").alias("__zero"))
+    flow = asks.unionByName(opens).unionByName(closes).withColumn("__span", F.date_trunc(span, time))
+    names = [n for n, _ in edge]
+    totals = flow.groupBy("__span").agg(*[F.sum(n).alias(f"{n}_t") for n in names])
+    # one row per time span
+    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__span", *[F.coalesce(F.sum(f"{n}_t").over(before), F.lit(0)).alias(f"{n}_o") for n in names])
+    upto = Window.partitionBy("__span").orderBy(F.unix_micros(time)).rangeBetween(Window.unboundedPreceding, 0)
+    r = flow.join(offsets, "__span").withColumns({n: F.sum(n).over(upto) + F.col(f"{n}_o") for n in names}).where("__ask")
+    sign = F.when(F.col("__neg") % 2 == 0, 1.0).otherwise(-1.0)
+    product = F.when(F.col("__zero") > 0, 0.0).otherwise(sign * F.exp("__log"))
+    return left.join(r.select(time, product.alias(name)), time, "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+
+
 def cover_product(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, factor: Column,
                   name: str, keys: Sequence[str] = (), bucket: str = "hour") -> DataFrame:
     """Add `name`: the product of `factor` over all intervals with start <= time <= end (1 if none).

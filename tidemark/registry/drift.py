@@ -108,14 +108,21 @@ def dr7(spark, root):
     return op.distribution_stats(fx.features(spark, root), COLS)
 
 
-SEASON = f"""o AS (SELECT event_id, value, row_number() OVER (ORDER BY {TS}, event_id) - 1 AS i FROM features),
-    t0 AS (SELECT *, CASE WHEN count(*) OVER w = 25 THEN (sum(value) OVER w - (lag(value, 12) OVER (ORDER BY i) + lead(value, 12) OVER (ORDER BY i)) / 2) / 24 END AS t FROM o
+def season_sql(table: str, p: str = "") -> str:
+    """Entries of the additive seasonal adjustment with period 24: t1 (value, trend) and ss (seasonal means)."""
+    return f"""{p}o AS (SELECT event_id, value, row_number() OVER (ORDER BY {TS}, event_id) - 1 AS i FROM {table}),
+    {p}t0 AS (SELECT *, CASE WHEN count(*) OVER w = 25 THEN (sum(value) OVER w - (lag(value, 12) OVER (ORDER BY i) + lead(value, 12) OVER (ORDER BY i)) / 2) / 24 END AS t FROM {p}o
     WINDOW w AS (ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
-    sp AS (SELECT min(i) AS a, max(i) AS b FROM t0 WHERE t IS NOT NULL),
-    hd AS (SELECT regr_slope(t, i) AS k, regr_intercept(t, i) AS n FROM t0, sp WHERE t IS NOT NULL AND i < b AND i < a + 24),
-    tl AS (SELECT regr_slope(t, i) AS k, regr_intercept(t, i) AS n FROM t0, sp WHERE t IS NOT NULL AND i < b AND i >= b - 24),
-    t1 AS (SELECT event_id, value, i, CASE WHEN i < a THEN hd.n + hd.k * i WHEN i > b THEN tl.n + tl.k * i ELSE t END AS t FROM t0, sp, hd, tl),
-    ss AS (SELECT i % 24 AS p, avg(value - t) AS s FROM t1 GROUP BY 1)"""
+    {p}sp AS (SELECT min(i) AS a, max(i) AS b FROM {p}t0 WHERE t IS NOT NULL),
+    {p}hd AS (SELECT regr_slope(t, i) AS k, regr_intercept(t, i) AS n FROM {p}t0, {p}sp WHERE t IS NOT NULL AND i < b AND i < a + 24),
+    {p}tl AS (SELECT regr_slope(t, i) AS k, regr_intercept(t, i) AS n FROM {p}t0, {p}sp WHERE t IS NOT NULL AND i < b AND i >= b - 24),
+    {p}t1 AS (SELECT event_id, value, i, CASE WHEN i < a THEN hd.n + hd.k * i WHEN i > b THEN tl.n + tl.k * i ELSE t END AS t FROM {p}t0, {p}sp, {p}hd hd, {p}tl tl),
+    {p}ss AS (SELECT i % 24 AS p, avg(value - t) AS s FROM {p}t1 GROUP BY 1)"""
+
+
+SEASON = season_sql("features")
+SEASONS = ", ".join([season_sql("reference", "r_"), season_sql('"current"', "c_")] + [
+    f"{n} AS (SELECT value - (s - (SELECT avg(s) FROM {n}_ss)) AS value FROM {n}_t1 JOIN {n}_ss ON {n}_ss.p = {n}_t1.i % 24)" for n in ("r", "c")])
 
 
 @query("dr8_seasonal_adjustment", ctes("features", extra=SEASON) + "SELECT event_id, round(value - (s - (SELECT avg(s) FROM ss)), 6) AS adjusted FROM t1 JOIN ss ON ss.p = t1.i % 24")
@@ -124,7 +131,7 @@ def dr8(spark, root):
     return op.seasonal_adjust(f, "timestamp", "value", 24, ["event_id"]).select("event_id", "adjusted")
 
 
-@query("dr8_seasonal_two_sample")
+@query("dr8_seasonal_two_sample", ctes("reference", "current", extra=SEASONS + ", " + two_sample_sql("r", "c", ["value"], "k")) + KS_OUT.replace("FROM ks", "FROM kks").replace("SELECT feature,", "SELECT feature, TRUE AS seasonal_adjusted,"))
 def dr8b(spark, root):
     r, c = (f(spark, root).select("event_id", "timestamp", "value") for f in (fx.reference, fx.current))
     return op.seasonal_two_sample(r, c, "timestamp", "value", 24, ["event_id"], 100)
@@ -194,7 +201,12 @@ def dr13(spark, root):
     return corr.kendall(s.join(o, "event_id"), "x", "y")
 
 
-@query("dr13_kendall_with_target")
+PAIRS_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS variable, round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / (sqrt(sum(abs(sign(a.x - b.x)))) * sqrt(sum(abs(sign(a.y - b.y))))), 6) AS correlation
+    FROM (SELECT event_id AS i, {q(c)} AS x, value AS y FROM features) a JOIN (SELECT event_id AS i, {q(c)} AS x, value AS y FROM features) b ON a.i < b.i""" for c in ("k", "load"))
+
+
+@query("dr13_kendall_with_target", ctes("features") + PAIRS_SQL)
 def dr13b(spark, root):
     return corr.kendall_with_target(fx.features(spark, root), ["k", "load"], "value")
 
