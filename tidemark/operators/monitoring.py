@@ -129,6 +129,11 @@ def action_history(actions: DataFrame, start: str | None = None, end: str | None
     return actions if not kinds else actions.where(F.col("action_type").isin(list(kinds)))
 
 
+def _clock_us() -> Column:
+    """Time of day of a window in microseconds."""
+    return (F.col("hour") * 60 + F.col("minute")).cast("bigint") * 60_000_000
+
+
 def retraining_due(windows: DataFrame, as_of: str, base_interval: int = 30) -> DataFrame:
     """Whether each model is due at `as_of` and its next window.
 
@@ -141,16 +146,16 @@ def retraining_due(windows: DataFrame, as_of: str, base_interval: int = 30) -> D
     calendar_due = at_day & (F.hour(now) == F.col("hour")) & (F.minute(now) == F.col("minute"))
     days = F.floor((F.unix_micros(now) - F.unix_micros("last_trained")) / 86_400_000_000)
     due = F.when(cal, F.coalesce(calendar_due, F.lit(False))).otherwise(days >= base_interval)
-    today = F.timestamp_micros(F.unix_micros(F.date_trunc("day", now)) + (F.col("hour") * 60 + F.col("minute")) * 60_000_000)
+    today = F.timestamp_micros(F.unix_micros(F.date_trunc("day", now)) + _clock_us())
     passed = (F.hour(now) > F.col("hour")) | ((F.hour(now) == F.col("hour")) & (F.minute(now) >= F.col("minute")))
     gone = (F.day(now) > F.col("day_of_month")) | ((F.day(now) == F.col("day_of_month")) & passed)
     month = F.date_trunc("month", now)
     month = F.when(gone, F.add_months(month, 1)).otherwise(month.cast("date"))
     by_month = F.timestamp_micros(F.unix_micros(F.date_add(month, F.col("day_of_month").cast("int") - 1).cast("timestamp"))
-                                  + (F.col("hour") * 60 + F.col("minute")) * 60_000_000)
+                                  + _clock_us())
     ahead = F.pmod(F.col("day_of_week") - F.weekday(now), F.lit(7))
     ahead = F.when((ahead == 0) & passed, 7).otherwise(ahead)
-    by_week = F.timestamp_micros(F.unix_micros(today) + ahead * 86_400_000_000)
+    by_week = F.timestamp_micros(F.unix_micros(today) + ahead.cast("bigint") * 86_400_000_000)
     by_interval = F.greatest(F.col("last_trained") + F.expr(f"interval {base_interval} days"), now)
     nxt = (F.when(~cal, by_interval).when(F.col("day_of_month").isNotNull(), by_month).when(F.col("day_of_week").isNotNull(), by_week).otherwise(today))
     return windows.select("model_id", due.alias("is_due"), nxt.alias("next_window"))
@@ -161,7 +166,7 @@ def schedule(windows: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     now = F.lit(as_of).cast("timestamp")
     end = now + F.expr(f"interval {days} days")
     d = windows.where(F.col("hour").isNotNull()).select("*", F.explode(F.sequence(F.to_date(now), F.to_date(end))).alias("__day"))
-    at = F.timestamp_micros(F.unix_micros(F.col("__day").cast("timestamp")) + (F.col("hour") * 60 + F.col("minute")) * 60_000_000)
+    at = F.timestamp_micros(F.unix_micros(F.col("__day").cast("timestamp")) + _clock_us())
     fits = F.when(F.col("day_of_month").isNotNull(), F.day("__day") == F.col("day_of_month")).when(
         F.col("day_of_week").isNotNull(), F.weekday("__day") == F.col("day_of_week")).otherwise(True)
     return d.withColumn("scheduled_at", at).where(fits & (F.col("scheduled_at") > now) & (F.col("scheduled_at") <= end)).select("model_id", "scheduled_at")

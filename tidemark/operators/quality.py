@@ -139,8 +139,8 @@ def metric_violations(df: DataFrame, metric: str = "metric_name", value: str = "
 
 def outlier_labels(df: DataFrame, rate: str, temperature: str, rain: str, top: float = 100.0) -> DataFrame:
     """is_outlier (empty or above the top) and extreme_weather (above the 95th percentile of either)."""
-    t = quantiles(df, temperature, [0.95]).select(F.col("q")[0].alias("t95"))
-    p = quantiles(df, rain, [0.95]).select(F.col("q")[0].alias("p95"))
-    s = with_row(with_row(df, t, "__t"), p, "__p")
+    q = quantiles(long_form(df, [temperature, rain]), "v", [0.95], ["column_name"])
+    p95 = q.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q")[0])).alias(n) for c, n in ((temperature, "t"), (rain, "p"))])
+    s = with_row(df, p95, "__p95")
     return s.withColumn("is_outlier", (F.col(rate) == 0) | (F.col(rate) > top)).withColumn(
-        "extreme_weather", (F.col(temperature) > F.col("__t.t95")) | (F.col(rain) > F.col("__p.p95"))).drop("__t", "__p")
+        "extreme_weather", (F.col(temperature) > F.col("__p95.t")) | (F.col(rain) > F.col("__p95.p"))).drop("__p95")

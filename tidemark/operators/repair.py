@@ -34,10 +34,15 @@ def median_of(df: DataFrame, col: str) -> DataFrame:
     return quantiles(df, col, [0.5]).select(F.col("q")[0].alias("m"))
 
 
-def median_time(df: DataFrame, col: str) -> DataFrame:
-    """One row `m`: the median instant, to the microsecond."""
-    us = df.select(F.unix_micros(col).alias("us"))
-    return quantiles(us, "us", [0.5]).select(F.timestamp_micros(F.floor(F.col("q")[0])).alias("m"))
+def medians_of(df: DataFrame, **columns: Column) -> DataFrame:
+    """One row with the exact median of every column; times are given and returned in microseconds."""
+    wide = df.select(*[c.cast("double").alias(n) for n, c in columns.items()])
+    q = quantiles(wide.unpivot([], list(columns), "__name", "__v"), "__v", [0.5], ["__name"])
+    return q.agg(*[F.max(F.when(F.col("__name") == n, F.col("q")[0])).alias(n) for n in columns])
+
+
+def _instant(us: Column) -> Column:
+    return F.timestamp_micros(F.floor(us))
 
 
 def fix_features(df: DataFrame) -> DataFrame:
@@ -45,22 +50,21 @@ def fix_features(df: DataFrame) -> DataFrame:
     the mode, weekend added, time filled with the median."""
     at = rules.parse_time(F.col("timestamp"))
     d = df.withColumn("occupancy_rate", clip(F.col("occupancy_rate"), 0.0, 1.0)).withColumn("__at", at)
-    d = with_row(d, median_of(d, "occupancy_rate"), "__med")
+    d = with_row(d, medians_of(d, rate=F.col("occupancy_rate"), time=F.unix_micros("__at")), "__med")
     d = with_row(d, mode_of(df, "day_of_week", F.col("day_of_week").between(0, 6)), "__dow")
     d = with_row(d, mode_of(df, "hour_of_day", F.col("hour_of_day").between(0, 23)), "__hod")
-    d = with_row(d, median_time(df.select(at.alias("at")), "at"), "__time")
     weekday = F.when(F.col("day_of_week").between(0, 6), F.col("day_of_week")).otherwise(F.coalesce(F.weekday("__at"), F.col("__dow.m")))
     hour = F.when(F.col("hour_of_day").between(0, 23), F.col("hour_of_day")).otherwise(F.coalesce(F.hour("__at"), F.col("__hod.m")))
     out = d.withColumns({
-        "occupancy_rate": F.coalesce("occupancy_rate", "__med.m"),
+        "occupancy_rate": F.coalesce("occupancy_rate", "__med.rate"),
         "is_holiday": F.when(F.lower(F.col("is_holiday").cast("string")).isin("true", "1"), 1).otherwise(0).cast("bigint"),
         "day_of_week": weekday.cast("bigint"),
         "hour_of_day": hour.cast("bigint"),
-        "timestamp": F.coalesce("__at", "__time.m"),
+        "timestamp": F.coalesce(F.col("__at"), _instant(F.col("__med.time"))),
     })
     if "is_weekend" not in df.columns:
         out = out.withColumn("is_weekend", F.when(F.col("day_of_week") >= 5, 1).otherwise(0).cast("bigint"))
-    return out.drop("__at", "__med", "__dow", "__hod", "__time")
+    return out.drop("__at", "__med", "__dow", "__hod")
 
 
 def fix_predictions(df: DataFrame, as_of: str, default_version: str = "v1.0") -> DataFrame:
@@ -85,8 +89,11 @@ def fix_raw(df: DataFrame) -> DataFrame:
     rate, total, free = F.col("occupancy_rate"), F.col("total_spots"), F.col("available_spots")
     usable = total.isNotNull() & free.isNotNull() & (total > 0)
     again = F.when(rate.between(0, 1), rate).otherwise(F.when(usable, 1 - free / total).otherwise(rate))
-    d = df.withColumn("occupancy_rate", clip(again, 0.0, 1.0))
-    d = with_row(d, median_of(d, "occupancy_rate"), "__rate").withColumn("occupancy_rate", F.coalesce("occupancy_rate", "__rate.m"))
+    at = rules.parse_time(F.col("timestamp"))
+    d = df.withColumn("occupancy_rate", clip(again, 0.0, 1.0)).withColumn("timestamp", at)
+    d = with_row(d, medians_of(d, rate=rate, time=F.unix_micros("timestamp")), "__med")
+    d = d.withColumn("occupancy_rate", F.coalesce("occupancy_rate", "__med.rate")).withColumn(
+        "timestamp", F.coalesce(F.col("timestamp"), _instant(F.col("__med.time"))))
 
     good = df.where(total > 0).select("location_id", total.cast("double").alias("t"))
     local = quantiles(good.where(F.col("location_id").isNotNull()), "t", [0.5], ["location_id"]).select(
@@ -101,8 +108,6 @@ def fix_raw(df: DataFrame) -> DataFrame:
     d = d.withColumn("total_spots", F.coalesce(F.col("total_spots"), F.col("__all.m"), F.lit(100.0)))
     d = d.withColumn("available_spots", F.when(
         free.isNull() | (free < 0), F.bround(total * (1 - rate))).when(free > total, total).otherwise(free.cast("double")))
-    at = rules.parse_time(F.col("timestamp"))
-    d = with_row(d, median_time(df.select(at.alias("at")), "at"), "__time").withColumn("timestamp", F.coalesce(at, F.col("__time.m")))
     expected = rules.expected_rate(F.col("available_spots"), F.col("total_spots"))
     d = d.withColumn("occupancy_rate", F.when(F.abs(expected - rate) > rules.RATE_TOLERANCE, expected).otherwise(rate))
     return d.select(*df.columns)
@@ -149,11 +154,11 @@ def fill_missing(df: DataFrame, numeric: str = "interpolate", key: str = "locati
     out = df
     if numeric == "interpolate":
         out = interpolate_time(out, [key], time, numbers, ties)
-    elif numeric in ("mean", "median"):
-        for c in numbers:
-            one = df.agg(F.avg(c).alias("m")) if numeric == "mean" else median_of(df, c)
-            out = with_row(out, one, f"__{c}").withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__{c}.m"))).drop(f"__{c}")
-    else:
+    elif numeric in ("mean", "median") and numbers:
+        one = df.agg(*[F.avg(c).alias(c) for c in numbers]) if numeric == "mean" else medians_of(df, **{c: F.col(c) for c in numbers})
+        out = with_row(out, one, "__fill")
+        out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__fill.{c}")) for c in numbers}).drop("__fill")
+    elif numeric not in ("mean", "median"):
         raise ValueError(f"unknown numeric strategy {numeric}")
     for c in words:
         out = with_row(out, mode_of(df, c), f"__{c}").withColumn(c, F.coalesce(F.col(c), F.col(f"__{c}.m"))).drop(f"__{c}")

@@ -235,7 +235,7 @@ def transitions(changes: DataFrame, value: str) -> DataFrame:
 
 def moving_average(df: DataFrame, keys: Sequence[str], time: str, value: str, width: int = 3, ties: Sequence[str] = ()) -> DataFrame:
     """Centred sum over `width` rows divided by `width`; beyond the ends counts as zero."""
-    ahead, back = width // 2, width - 1 - width // 2
+    ahead, back = (width - 1) // 2, width // 2
     return row_frame(df, keys, time, lambda w: {"smoothed": F.sum(value).over(w.rowsBetween(-back, ahead)) / width}, ties,
                      before=back, after=ahead)
 

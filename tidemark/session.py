@@ -52,6 +52,12 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN as null in all floating columns, so that aggregates treat both as missing."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
+
+
 def present(df: DataFrame, digits: int = 6) -> DataFrame:
     """Result form: doubles rounded (and -0.0 made 0.0), instants back to zone-less timestamps."""
     out = []

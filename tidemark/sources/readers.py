@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.shaping import date_range, parse_pair
+from tidemark.session import nan_to_null
 
 # Columns of the CSV sources; further columns of a file are not read.
 OBSERVATION_CSV = "event_id bigint, location_id string, timestamp string, date string, occupancy double, capacity bigint"
@@ -17,7 +18,7 @@ def read_csv(spark: SparkSession, path: str, schema: str = OBSERVATION_CSV, star
     """CSV with header; the time is `timestamp`, or `date` where that is missing; optional inclusive range."""
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     at = F.coalesce(F.try_to_timestamp("timestamp"), F.try_to_timestamp("date"))
-    return date_range(raw.withColumn("timestamp", at).drop("date"), "timestamp", start, end)
+    return date_range(nan_to_null(raw.withColumn("timestamp", at).drop("date")), "timestamp", start, end)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
