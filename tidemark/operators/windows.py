@@ -126,9 +126,10 @@ def rolling_moments(df: DataFrame, keys: Sequence[str], time: str, value: str, h
 
 def rolling_percentiles(df: DataFrame, keys: Sequence[str], time: str, value: str, hours: int = 24,
                         percentiles: Sequence[float] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Exact trailing percentiles over (t - hours, t]; every row reads its frame."""
-    return time_frame(df, keys, time, hours * 3600, lambda w: {
-        f"percentile_{round(p * 100)}": F.percentile(value, F.lit(float(p))).over(w) for p in percentiles})
+    """Exact trailing percentiles over (t - hours, t]; every row reads its frame, once for all of them."""
+    out = time_frame(df, keys, time, hours * 3600, lambda w: {
+        "__q": F.percentile(value, F.array(*[F.lit(float(p)) for p in percentiles])).over(w)})
+    return out.withColumns({f"percentile_{round(p * 100)}": F.col("__q")[i] for i, p in enumerate(percentiles)}).drop("__q")
 
 
 def rolling_stats(df: DataFrame, keys: Sequence[str], time: str, value: str, hours: int = 24,

@@ -47,8 +47,8 @@ def jn2(spark, root):
     return out.drop("timestamp")
 
 
-@query("jn3_event_impact", ctes("obs", "city_events") + f"""SELECT o.event_id, round(coalesce(product(1 + e.impact_factor), 1.0), 6) AS event_impact
-    FROM obs o LEFT JOIN city_events e ON o.{TS} BETWEEN e.start_time AND e.end_time GROUP BY 1""")
+@query("jn3_event_impact", ctes("obs", "city_events") + f"""SELECT o.event_id, round(coalesce(product(1 + e.impact_factor), 1.0), 9) AS event_impact
+    FROM obs o LEFT JOIN city_events e ON o.{TS} BETWEEN e.start_time AND e.end_time GROUP BY 1""", digits=9)
 def jn3(spark, root):
     o = fx.obs(spark, root).select("event_id", "timestamp")
     return op.event_impact(o, fx.city_events(spark, root)).select("event_id", "event_impact")
