@@ -39,7 +39,8 @@ def test_counterparts_belong_to_queries():
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_matches_sql(spark, con, key):
     got = QUERIES[key](spark, ROOT).toArrow()
-    assert compare(got, con.sql(ORACLE[key]).to_arrow_table()) == ""
+    # a value halfway between two roundings may fall either way
+    assert compare(got, con.sql(ORACLE[key]).to_arrow_table(), 1.1e-4) == ""
 
 
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLE)))

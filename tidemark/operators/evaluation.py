@@ -24,8 +24,10 @@ def _mae(y: Column, p: Column, w: Column) -> Column:
 
 
 def _r2(y: Column, p: Column, w: Column) -> Column:
-    total = F.sum(w * y * y) - F.try_divide(F.sum(w * y) * F.sum(w * y), F.sum(w))
-    return 1 - F.try_divide(F.sum(w * (y - p) * (y - p)), total)
+    square = F.sum(w * y * y)
+    total = square - F.try_divide(F.sum(w * y) * F.sum(w * y), F.sum(w))
+    # without variance there is nothing to explain: null
+    return F.when(total > square * 1e-14, 1 - F.sum(w * (y - p) * (y - p)) / total)
 
 
 def _mape(y: Column, p: Column, w: Column) -> Column:

@@ -19,7 +19,7 @@ from tidemark.registry.windows import PV
 
 RMSE = "sqrt(sum({w} * pow(actual - predicted, 2)) / sum({w}))"
 MAE = "sum({w} * abs(actual - predicted)) / sum({w})"
-R2 = "1 - sum({w} * pow(actual - predicted, 2)) / (sum({w} * actual * actual) - pow(sum({w} * actual), 2) / sum({w}))"
+R2 = "1 - sum({w} * pow(actual - predicted, 2)) / nullif(sum({w} * actual * actual) - pow(sum({w} * actual), 2) / sum({w}), 0)"
 
 
 def metric_sql(w="1", digits=6):
