@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -249,3 +250,13 @@ def test_no_window_over_a_whole_key(spark):
     df = frame(spark, events(50))
     text = win.lags(df, ["key"], "t", "v", {"1": 1}, ["id"])._jdf.queryExecution().toString()
     assert "__block" in text and Window is not None
+
+
+def test_rows_without_key_or_time_stay(spark):
+    t = T0.to_pydatetime()
+    rows = [(1, "a", t, 1.0), (2, None, t, 2.0), (3, None, t + timedelta(hours=2), 3.0), (4, "a", None, 4.0)]
+    df = spark.createDataFrame(rows, "id int, key string, t timestamp, v double")
+    got = {r["id"]: r["p"] for r in series.row_frame(df, ["key"], "t", lambda w: {"p": F.lag("v").over(w)}, ["id"]).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3] == 2.0
+    assert series.fill_forward_back(df, ["key"], "t", ["v"], ["id"]).count() == 4
+    assert {r["key"]: r["n"] for r in ordered.quantiles(df, "v", [0.5], ["key"]).collect()} == {"a": 2, None: 2}

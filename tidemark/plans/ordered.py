@@ -46,17 +46,23 @@ def running(freq: DataFrame, value: str, keys: Sequence[str] = (), counts: Seque
     # at most one row per slice and key
     lower = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    offsets = per_slice.select(
+    lead = per_slice.select(
         *keys,
         SLICE,
+        F.lit(0).alias("__kind"),
         *[F.coalesce(F.sum(f"{c}_slice").over(lower), F.lit(0)).alias(f"{c}_before") for c in counts],
-        *[F.sum(f"{c}_slice").over(whole).alias(f"{c}_total") for c in counts],
+        *[F.sum(f"{c}_slice").over(whole).alias(f"{c}_all") for c in counts],
     )
-    inner = Window.partitionBy(*keys, SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = parted.join(offsets, [*keys, SLICE])
+    # one leading row per slice and key brings the counts of the slices below
+    flow = parted.withColumn("__kind", F.lit(1)).unionByName(lead, allowMissingColumns=True)
+    order = Window.partitionBy(*keys, SLICE).orderBy("__kind", value)
+    smaller, first = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    out = flow
     for c in counts:
-        out = out.withColumn(f"{c}_below", F.col(f"{c}_before") + F.coalesce(F.sum(c).over(inner), F.lit(0)))
-    return out.drop(SLICE, *[f"{c}_before" for c in counts])
+        inside = F.coalesce(F.sum(c).over(smaller), F.lit(0))
+        out = out.withColumn(f"{c}_below", F.first(f"{c}_before", ignorenulls=True).over(first) + inside).withColumn(
+            f"{c}_total", F.first(f"{c}_all", ignorenulls=True).over(first))
+    return out.where(F.col("__kind") == 1).drop(SLICE, "__kind", *[f"{c}_{x}" for c in counts for x in ("before", "all")])
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

@@ -31,17 +31,18 @@ def with_ordinal(
     span: str = "hour",
     name: str = ORDINAL,
 ) -> DataFrame:
-    """0-based position of each row in its key's order (time, ties)."""
+    """0-based position of each row in its key's order (time, ties).
+
+    Every time span of a key gets one leading row that brings the number of rows before the span, so
+    one shuffle does it and rows without a key or a time stay."""
     spanned = df.withColumn(SPAN, F.date_trunc(span, F.col(time)))
     sizes = spanned.groupBy(*keys, SPAN).agg(F.count(F.lit(1)).alias("__size"))
     before = Window.partitionBy(*keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, SPAN, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    local = Window.partitionBy(*keys, SPAN).orderBy(time, *ties)
-    return (
-        spanned.join(offsets, [*keys, SPAN])
-        .withColumn(name, F.col("__offset") + F.row_number().over(local) - 1)
-        .drop("__offset", SPAN)
-    )
+    lead = sizes.select(*keys, SPAN, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"), F.lit(0).alias("__kind"))
+    flow = spanned.withColumn("__kind", F.lit(1)).unionByName(lead, allowMissingColumns=True)
+    local = Window.partitionBy(*keys, SPAN).orderBy("__kind", time, *ties)
+    position = F.first("__offset", ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(local) - 2
+    return flow.withColumn(name, position).where(F.col("__kind") == 1).drop("__offset", "__kind", SPAN)
 
 
 def row_frame(
@@ -189,27 +190,26 @@ def with_known(
     per_span = s.groupBy(*keys, SPAN).agg(
         *[F.max(f"__m_{n}").alias(f"__hi_{n}") for n in known], *[F.min(f"__m_{n}").alias(f"__lo_{n}") for n in known]
     )
-    across = Window.partitionBy(*keys).orderBy(SPAN)
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
-    carried = per_span.select(
+    # growing frames in both directions: each row is visited once
+    earlier = Window.partitionBy(*keys).orderBy(F.col(SPAN).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col(SPAN).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lead = per_span.select(
         *keys,
         SPAN,
+        F.lit(0).alias("__kind"),
         *[F.last(f"__hi_{n}", ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in known],
-        *[F.first(f"__lo_{n}", ignorenulls=True).over(later).alias(f"__after_{n}") for n in known],
-    )
-    inner = Window.partitionBy(*keys, SPAN).orderBy(time, *ties)
-    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inner.rowsBetween(0, Window.unboundedFollowing)
-    out = s.join(carried, [*keys, SPAN]).withColumns(
-        {f"__p_{n}": F.last(f"__m_{n}", ignorenulls=True).over(upto) for n in known}
-        | {f"__n_{n}": F.first(f"__m_{n}", ignorenulls=True).over(onward) for n in known}
+        *[F.last(f"__lo_{n}", ignorenulls=True).over(later).alias(f"__after_{n}") for n in known],
     )
-    out = out.withColumns(
-        {f"{n}_prev": F.coalesce(f"__p_{n}", f"__before_{n}") for n in known}
-        | {f"{n}_next": F.coalesce(f"__n_{n}", f"__after_{n}") for n in known}
+    flow = s.withColumn("__kind", F.lit(1)).unionByName(lead, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, SPAN)
+    upto = part.orderBy("__kind", time, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    onward = part.orderBy(F.col("__kind"), F.col(time).desc(), *[F.col(t).desc() for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    # the leading row of a span holds what the other spans know; a mark inside the span overrides it
+    out = flow.withColumns(
+        {f"{n}_prev": F.last(F.coalesce(f"__m_{n}", f"__before_{n}"), ignorenulls=True).over(upto) for n in known}
+        | {f"{n}_next": F.last(F.coalesce(f"__m_{n}", f"__after_{n}"), ignorenulls=True).over(onward) for n in known}
     )
-    return out.drop(SPAN, *[f"__{p}_{n}" for n in known for p in ("m", "p", "n", "before", "after")])
+    return out.where(F.col("__kind") == 1).drop("__kind", SPAN, *[f"__{p}_{n}" for n in known for p in ("m", "before", "after")])
 
 
 def fill_forward_back(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], ties: Sequence[str] = (),
