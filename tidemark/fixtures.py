@@ -68,7 +68,7 @@ def obs_weather(spark: SparkSession, root: str) -> DataFrame:
 
 
 def city_events(spark: SparkSession, root: str) -> DataFrame:
-    e = read_table(spark, root, "events").where((F.col("event_type") == "signup") & (F.col("event_id") % 25 == 0))
+    e = read_table(spark, root, "events").where(F.col("event_type") == "signup")
     site = F.col("event_id") % 20
     return e.select(
         "event_id",
@@ -237,7 +237,7 @@ SQL = {
     "city_events": f"""SELECT event_id, ts AS start_time, ts + INTERVAL 3 HOURS AS end_time,
         {K} / 100.0::DOUBLE AS impact_factor, 41.36::DOUBLE + (event_id % 20) * 0.004::DOUBLE AS event_lat,
         2.12::DOUBLE + (event_id % 20) * 0.006::DOUBLE AS event_lon
-        FROM events WHERE event_type = 'signup' AND event_id % 25 = 0""",
+        FROM events WHERE event_type = 'signup'""",
     "facilities": """SELECT s_suppkey AS facility_id, s_name AS facility_name,
         41.35::DOUBLE + CAST(s_suppkey * 37 % 1000 AS DOUBLE) / 10000 AS latitude,
         2.10::DOUBLE + CAST(s_suppkey * 53 % 1300 AS DOUBLE) / 10000 AS longitude, 50 + s_suppkey % 450 AS capacity,

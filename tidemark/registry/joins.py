@@ -47,11 +47,12 @@ def jn2(spark, root):
     return out.drop("timestamp")
 
 
-@query("jn3_event_impact", ctes("obs", "city_events") + f"""SELECT o.event_id, round(coalesce(product(1 + e.impact_factor), 1.0), 9) AS event_impact
-    FROM obs o LEFT JOIN city_events e ON o.{TS} BETWEEN e.start_time AND e.end_time GROUP BY 1""", digits=9)
+@query("jn3_event_impact", ctes("obs", "city_events") + f"""SELECT o.event_id, round(ln(coalesce(product(1 + e.impact_factor), 1.0)), 6) AS log_impact
+    FROM obs o LEFT JOIN city_events e ON o.{TS} BETWEEN e.start_time AND e.end_time GROUP BY 1""")
 def jn3(spark, root):
     o = fx.obs(spark, root).select("event_id", "timestamp")
-    return op.event_impact(o, fx.city_events(spark, root)).select("event_id", "event_impact")
+    # products of two-digit factors sit on rounding ties, their logarithms do not
+    return op.event_impact(o, fx.city_events(spark, root)).select("event_id", F.log("event_impact").alias("log_impact"))
 
 
 @query("jn4_event_impact_near", ctes("obs", "city_events") + f"""SELECT o.event_id, round(least(greatest(coalesce(product(1 +

@@ -10,6 +10,7 @@ from tidemark.functions import calendar
 from tidemark.operators import joins
 from tidemark.operators import learning as op
 from tidemark.operators.evaluation import regression_metrics
+from tidemark.operators.features import categories
 from tidemark.registry import joins as jn
 from tidemark.registry.core import query
 from tidemark.functions.constants import ZONES
@@ -107,13 +108,13 @@ def ml6b(spark, root):
     return regression_metrics(op.score_linear(f, op.linear_by_key(f, "location_id", cols, LABEL), "location_id", cols), ["location_id"], LABEL, names=["rmse", "r2"])
 
 
-@query("ml6_pipelines_by_location")
+@query("ml6_pipelines_by_group")
 def ml6c(spark, root):
     f = frame(spark, root)
-    models = op.fit_by_location(f, "location_id", ["LOC_1", "LOC_2"], "gbt", NUMERIC, [], LABEL, maxIter=5)
+    models = op.fit_by_location(f, "parking_type", categories(f, "parking_type"), "gbt", NUMERIC, [], LABEL, maxIter=5)
     out = None
-    for loc, m in models.items():
-        one = evaluated(op.predict(m, f.where(F.col("location_id") == loc))).withColumn("location_id", F.lit(loc))
+    for kind, m in models.items():
+        one = evaluated(op.predict(m, f.where(F.col("parking_type") == kind))).withColumn("parking_type", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
