@@ -9,7 +9,7 @@ l AS (
   SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
 t AS (
   SELECT doc_id, pos, line,
-    list_filter(string_split_regex(regexp_replace(line, '[^\s0-9]*[0-9]\S*', '<*>', 'g'), '\s+'), x -> x <> '') AS w FROM l),
+    list_filter(string_split_regex(regexp_replace(line, '[^\s0-9]*[0-9]\S*', '<*>', 'g'), '\s+'), lambda x: x <> '') AS w FROM l),
 s AS (
   SELECT *, len(w) AS n, CAST(floor(len(w) * 0.2) AS INT) AS run, array_to_string(w, ' ') AS exact,
     CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(w, ' ') END AS e FROM t),
@@ -22,7 +22,7 @@ live AS (
 x AS (
   SELECT doc_id, pos, setting, unnest(list_concat(['e|' || exact],
     CASE WHEN run > 0 AND n > 2 THEN list_transform(range(CAST(ceil((n - 2) / run) AS INT)),
-      k -> n || '|' || k || '|' || array_to_string(w[1:k * run + 2], ' ') || chr(3) || array_to_string(w[(k + 1) * run + 3:n], ' ')) ELSE [] END)) AS template
+      lambda k: n || '|' || k || '|' || array_to_string(w[1:k * run + 2], ' ') || chr(3) || array_to_string(w[(k + 1) * run + 3:n], ' ')) ELSE [] END)) AS template
   FROM live),
 r AS (SELECT template FROM x GROUP BY template HAVING count(DISTINCT setting) >= 5),
 gone AS (SELECT DISTINCT doc_id, pos FROM x WHERE template IN (SELECT template FROM r))
@@ -33,8 +33,8 @@ FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_
 
 # overlaps: seeds join on the tokens the masks let through, then runs of 13 aligned tokens with 80 % agreement
 ORACLE["op3_spaced_seed_decontamination"] = r"""
-WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM d),
 bs AS (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM b),
 dm AS (
@@ -47,7 +47,7 @@ h AS (SELECT DISTINCT dm.id AS doc_id, bm.id AS item_id, dm.i - bm.i AS shift FR
 a AS (
   SELECT h.*, d.w AS dw, b.w AS bw, greatest(shift, 0) AS f, least(len(d.w), shift + len(b.w)) - greatest(shift, 0) AS overlap, least(13, len(b.w)) AS need
   FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id),
-s AS (SELECT *, list_transform(range(1, overlap + 1), j -> CAST(dw[f + j] = bw[f - shift + j] AS INT)) AS same FROM a WHERE overlap >= need)
+s AS (SELECT *, list_transform(range(1, overlap + 1), lambda j: CAST(dw[f + j] = bw[f - shift + j] AS INT)) AS same FROM a WHERE overlap >= need)
 SELECT doc_id, item_id, shift, overlap, list_sum(same)::BIGINT AS equal FROM s
-WHERE len(list_filter(range(1, overlap - need + 2), i -> list_sum(same[i:i + need - 1]) >= need * 0.8)) > 0
+WHERE len(list_filter(range(1, overlap - need + 2), lambda i: list_sum(same[i:i + need - 1]) >= need * 0.8)) > 0
 """
