@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,27 +92,15 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost minimum of every run of `width` values."""
-    index = np.arange(len(values))
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Index of the leftmost smallest value of every run of `width`, by the values' upper 36 bits (ties by place)."""
+    key = (values & ~np.uint64((1 << 28) - 1)) | np.arange(len(values), dtype=np.uint64)
     have = 1
     while have < width:
         step = min(have, width - have)
-        a, b = index[: len(index) - step], index[step:]
-        index = np.where(values[b] < values[a], b, a)
+        key = np.minimum(key[: len(key) - step], key[step:])
         have += step
-    return index
-
-
-def arrow_rows(make: Callable[[pa.RecordBatch], Iterator[dict]], schema: pa.Schema) -> Callable:
-    """A mapInArrow function from one that yields columns for each input batch."""
-
-    def run(batches):
-        for batch in batches:
-            for columns in make(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-    return run
+    return (key & np.uint64((1 << 28) - 1)).astype(np.int64)
 
 
 def attach(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:

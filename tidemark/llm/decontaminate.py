@@ -56,7 +56,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     sums = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
     ran = both.withColumns({"overlap": overlap, "need": need}).where("overlap >= need").withColumn("same", same)
     good = F.exists(F.sequence(F.lit(1), F.col("overlap") - F.col("need") + 1), lambda i: sums(F.slice("same", i, F.col("need"))) >= F.col("need") * agree)
-    return ran.where(good).select("doc_id", "row", "item_id", "shift", F.col("overlap").cast("bigint").alias("overlap"), sums(F.col("same")).cast("bigint").alias("equal")).distinct()
+    return ran.where(good).select("doc_id", "row", "item_id", F.col("shift").cast("bigint").alias("shift"), F.col("overlap").cast("bigint").alias("overlap"), sums(F.col("same")).cast("bigint").alias("equal")).distinct()
 
 
 def clean(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, fingerprints, language, lines, quality, secrets, simhash
+from tidemark.llm import decontaminate, fingerprints, fmindex, language, lines, pieces, quality, repeats, secrets, simhash
 from tidemark.llm.frames import fold_of, read_table
 from tidemark.llm.oracles import ORACLE as ORACLE
 
@@ -36,12 +36,27 @@ def op5_simhash_gray_index(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, root, "documents"))
 
 
+def op6_fm_index_substrings(spark: SparkSession, root: str) -> DataFrame:
+    return fmindex.dedup_substrings(read_table(spark, root, "documents"))
+
+
+def op7_sentencepiece_lattice(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents").select("doc_id", "text")
+    coder = pieces.shared_coder(docs.select("text"), pieces.load(corpus_pipeline.MODEL))
+    got = pieces.encode(docs, coder, check="decoded_sha256")
+    return got.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
+
+
 def op8_quality_subwords(spark: SparkSession, root: str) -> DataFrame:
     docs = read_table(spark, root, "documents")
     got = quality.score(docs.select("doc_id", "text"), quality.fit(docs, read_table(spark, root, "labels")))
     return got.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_maximal_repeats(spark: SparkSession, root: str) -> DataFrame:
+    return repeats.dedup_bytes(read_table(spark, root, "documents"))
+
+
 def op10_multipart_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scan(read_table(spark, root, "documents"))
 
@@ -50,7 +65,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_line_templates, op3_spaced_seed_decontamination, op4_language_id, op5_simhash_gray_index,
-        op8_quality_subwords, op10_multipart_secrets,
+        op6_fm_index_substrings, op7_sentencepiece_lattice, op8_quality_subwords, op9_maximal_repeats, op10_multipart_secrets,
     )
 } | {"pipeline": corpus_pipeline.run}
 if corpus_pipeline.ORACLE_SQL:
