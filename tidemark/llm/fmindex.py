@@ -161,8 +161,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     how = Windows("word", width, GRAM)
     base = marked(docs, id_col, text_col)
     live = shared_segments(base.select("id", "row", "text"), how)
-    kinds, runs = judged_runs(base.select("row", "text"), live, how, lambda raw, ids: earlier_windows(raw, ids, width), SHARD)
-    told = live.join(kinds, ["key", "seq"]).join(runs, ["key", "seq"], "left")
+    judged = judged_runs(base.select("row", "text"), live, how, lambda raw, ids: earlier_windows(raw, ids, width), SHARD)
+    told = live.join(judged, ["key", "seq"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("w").alias("b")))
     mine = F.when(F.col("id") > F.col("first"), whole).otherwise(F.col("runs"))
     spans = told.select("row", "start", F.explode(mine).alias("run"))

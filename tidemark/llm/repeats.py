@@ -108,8 +108,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     how = Windows("byte", width, GRAM)
     base = marked(docs, id_col, text_col)
     live = shared_segments(base.select("id", "row", "text"), how)
-    kinds, runs = judged_runs(base.select("row", "text"), live, how, lambda raw, ids: repeated_windows(raw, width), SHARD)
-    told = live.join(kinds, ["key", "seq"]).join(runs, ["key", "seq"], "left")
+    judged = judged_runs(base.select("row", "text"), live, how, lambda raw, ids: repeated_windows(raw, width), SHARD)
+    told = live.join(judged, ["key", "seq"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("w").alias("b")))
     spans = told.select("row", "start", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))).alias("run"))
 

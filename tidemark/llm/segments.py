@@ -101,8 +101,8 @@ def shared_segments(base: DataFrame, how: Windows) -> DataFrame:
 Judge = Callable[[list[np.ndarray], np.ndarray], list[list[tuple[int, int]]]]
 
 
-def judged_runs(base: DataFrame, live: DataFrame, how: Windows, judge: Judge, flush: int) -> tuple[DataFrame, DataFrame]:
-    """(kinds: key, seq, n, first) of the different segments, and (key, seq, runs) of those in which `judge` found windows.
+def judged_runs(base: DataFrame, live: DataFrame, how: Windows, judge: Judge, flush: int) -> DataFrame:
+    """(key, seq, n, first, runs) of the different segments: how often, the smallest id, and the windows that `judge` found (or null).
 
     judge gets different segments (as units) with their smallest ids, all of the keys of a shard, and returns runs of windows."""
     kinds = cut(live.groupBy("key", "seq").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start", "w")).alias("rep")))
@@ -153,7 +153,8 @@ def judged_runs(base: DataFrame, live: DataFrame, how: Windows, judge: Judge, fl
             yield from settle(held)
 
     runs = cuts.repartition("key").sortWithinPartitions("key").mapInArrow(shard, "key bigint, seq bigint, runs array<struct<a:int,b:int>>")
-    return kinds.select("key", "seq", "n", F.col("rep.id").alias("first")), runs
+    # one row per segment on this side, so that the join with all segments is a single one whose hot keys Spark can split
+    return cut(kinds.select("key", "seq", "n", F.col("rep.id").alias("first")).join(runs, ["key", "seq"], "left").where("n > 1 or runs is not null"))
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
