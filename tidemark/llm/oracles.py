@@ -12,7 +12,7 @@ t AS (
     list_filter(string_split_regex(regexp_replace(line, '[^\s0-9]*[0-9]\S*', '<*>', 'g'), '\s+'), lambda x: x <> '') AS w FROM l),
 s AS (
   SELECT *, len(w) AS n, CAST(floor(len(w) * 0.2) AS INT) AS run, array_to_string(w, ' ') AS exact,
-    CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(w, ' ') END AS e FROM t),
+    line AS e FROM t),
 f AS (
   SELECT *, CAST(n AS VARCHAR) || '|' || array_to_string(w[1:2], ' ') AS path,
     coalesce(lag(e) OVER p, chr(1)) || chr(2) || coalesce(lead(e) OVER p, chr(1)) AS setting
