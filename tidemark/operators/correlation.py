@@ -114,17 +114,18 @@ def kendall(df: DataFrame, x: str, y: str, cells: int = 64) -> DataFrame:
     f = lv.groupBy("__lv", "__blk", y).agg(F.sum(low).alias("lo"), F.sum(F.col("n") - low).alias("hi"))
     r = running(f, y, ["__lv", "__blk"], ["lo"])
     # low-half rows with a smaller y are concordant with a high-half row, those with a larger y discordant
-    conc = F.sum(F.col("hi") * F.col("lo_below"))
-    disc = F.sum(F.col("hi") * (F.col("lo_total") - F.col("lo_below") - F.col("lo")))
+    hi = F.col("hi").cast("double")  # products of counts pass the range of a long
+    conc = F.sum(hi * F.col("lo_below"))
+    disc = F.sum(hi * (F.col("lo_total") - F.col("lo_below") - F.col("lo")))
     s = r.agg(conc.cast("double").alias("c"), disc.cast("double").alias("d"))
 
     def tied(frame: DataFrame, by: Sequence[str]) -> DataFrame:
         g = frame.groupBy(*by).agg(F.sum("n").alias("t"))
-        return g.agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v"))
+        return g.agg(F.sum(F.col("t").cast("double") * (F.col("t") - 1) / 2).alias("v"))
 
     total = pairs.agg(F.sum("n").alias("n"))
     s = with_row(with_row(with_row(s, tied(pairs, [x]), "__tx"), tied(pairs, [y]), "__ty"), total, "__n")
-    n0 = F.col("__n.n") * (F.col("__n.n") - 1) / 2
+    n0 = F.col("__n.n").cast("double") * (F.col("__n.n") - 1) / 2
     tau = F.try_divide(F.col("c") - F.col("d"), F.sqrt(n0 - F.col("__tx.v")) * F.sqrt(n0 - F.col("__ty.v")))
     return s.select(tau.alias("correlation"), F.col("__n.n").alias("n"))
 

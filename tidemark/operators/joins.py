@@ -47,14 +47,15 @@ def join_weather_nearest(obs: DataFrame, weather: DataFrame, time: str = "timest
 
 
 def event_impact(obs: DataFrame, events: DataFrame, time: str = "timestamp") -> DataFrame:
-    """Product of (1 + factor) over the events that cover the time."""
-    return running_cover_product(obs, events, time, "start_time", "end_time", 1 + F.col("impact_factor"), "event_impact")
+    """Product of (1 + factor) over the events that cover the time, and its logarithm, which stays finite where the product does not."""
+    return running_cover_product(obs, events, time, "start_time", "end_time", 1 + F.col("impact_factor"), "event_impact", log_name="log_impact")
 
 
 def event_impact_near(obs: DataFrame, events: DataFrame, time: str = "timestamp", radius_km: float = 2.0) -> DataFrame:
-    """The same with the factor fading over the distance to the event, clipped to [1, 3]."""
+    """The same with the factor fading over the distance to the event, clipped to [1, 3]; an event's own `impact_radius` goes before `radius_km`."""
     km = haversine(F.col("latitude"), F.col("longitude"), F.col("event_lat"), F.col("event_lon"))
-    out = cover_product(obs, events, time, "start_time", "end_time", 1 + F.exp(-km / radius_km) * F.col("impact_factor"),
+    reach = F.coalesce(F.col("impact_radius"), F.lit(radius_km)) if "impact_radius" in events.columns else F.lit(radius_km)
+    out = cover_product(obs, events, time, "start_time", "end_time", 1 + F.exp(-km / reach) * F.col("impact_factor"),
                         "event_impact", keys=["latitude", "longitude"])
     return out.withColumn("event_impact", F.least(F.greatest("event_impact", F.lit(1.0)), F.lit(3.0)))
 
@@ -126,8 +127,8 @@ def holiday_flags(df: DataFrame, holidays: DataFrame, time: str, day: str = "hol
 
 
 def route_models(df: DataFrame, registry: DataFrame, location: str = "location_id") -> DataFrame:
-    """Model of each row: the location's own, else the global one, else none with an error text."""
-    own = registry.where(F.col("location_id").isNotNull()).select(F.col("location_id").alias("__loc"), F.col("model_id").alias("__own"))
+    """Model of each row: the location's own (of several the largest id, as for the global one), else the global one, else none with an error text."""
+    own = registry.where(F.col("location_id").isNotNull()).groupBy(F.col("location_id").alias("__loc")).agg(F.max("model_id").alias("__own"))
     world = registry.where(F.col("location_id").isNull()).agg(F.max("model_id").alias("m")).scalar()
     out = df.join(own, F.col(location) == F.col("__loc"), "left").withColumn("__global", world)
     return out.select(

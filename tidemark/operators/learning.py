@@ -46,14 +46,17 @@ def regressor(kind: str, label: str, **params):
         return GBTRegressor(**base, seed=42, **{"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, **params})
     if kind == "forest":
         return RandomForestRegressor(**base, seed=42, **{"numTrees": 100, **params})
-    shapes = {"linear": (0.0, 0.0), "ridge": (0.01, 0.0), "lasso": (0.01, 1.0), "elastic_net": (0.01, 0.5)}
+    # penalties on the mean squared error of scaled features; a ridge penalty of 1 on the sum is 1/n here, see `fit`
+    shapes = {"linear": (0.0, 0.0), "ridge": (0.0, 0.0), "lasso": (0.1, 1.0), "elastic_net": (0.1, 0.5)}
     if kind not in shapes:
         raise ValueError(f"unknown regressor {kind}")
     reg, mix = shapes[kind]
-    return LinearRegression(**base, **{"regParam": reg, "elasticNetParam": mix, **params})
+    return LinearRegression(**base, **{"regParam": reg, "elasticNetParam": mix, "standardization": False, **params})
 
 
 def fit(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str], label: str, **params) -> PipelineModel:
+    if kind == "ridge" and "regParam" not in params:
+        params = {**params, "regParam": 1.0 / max(1, df.where(F.col(label).isNotNull()).count())}
     return Pipeline(stages=[*preprocessing(numeric, categorical), regressor(kind, label, **params)]).fit(df)
 
 

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of `changes` replace or extend the rows with the same key."""
+def newest(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One change per key: the one with the largest `order`; without it, or in a tie, the largest row."""
+    rest = [c for c in changes.columns if c != key]
+    rank = F.struct(*([F.col(order).alias("__order")] if order else []), *rest)
+    return changes.groupBy(key).agg(F.max(rank).alias("__c")).select(key, *[F.col(f"__c.{c}").alias(c) for c in rest]).select(*changes.columns)
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of `changes` replace or extend the rows with the same key; of several changes of a key the newest counts."""
+    changes = newest(changes, key, order)
     return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def update_by_id(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Set the non-null columns of `changes` on the rows with the same key; other rows stay."""
-    cols = [c for c in changes.columns if c != key]
-    c = changes.select(key, *[F.col(x).alias(f"__{x}") for x in cols])
+def update_by_id(table: DataFrame, changes: DataFrame, key: str, order: str | None = None, clear: str | None = None) -> DataFrame:
+    """Set the non-null columns of `changes` on the rows with the same key; other rows stay.
+
+    Of several changes of a key the one with the largest `order` counts. `clear` names an array column of `changes` with the
+    names of columns to set to null."""
+    cols = [c for c in changes.columns if c in table.columns and c != key]
+    c = newest(changes, key, order).select(key, *[F.col(x).alias(f"__{x}") for x in cols], *([F.col(clear).alias("__clear")] if clear else []))
     j = table.join(c, key, "left")
-    return j.select(*[F.coalesce(F.col(f"__{x}"), F.col(x)).alias(x) if x in cols else F.col(x) for x in table.columns])
+    emptied = lambda x: F.coalesce(F.array_contains("__clear", x), F.lit(False)) if clear else F.lit(False)
+    return j.select(*[F.when(~emptied(x), F.coalesce(F.col(f"__{x}"), F.col(x))).alias(x) if x in cols else F.col(x) for x in table.columns])
 
 
 def delete_by_id(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -38,9 +38,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, time: str, right_time: str,
 
 
 def running_cover_product(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, factor: Column, name: str,
-                          span: str = "hour") -> DataFrame:
+                          span: str = "hour", log_name: str | None = None) -> DataFrame:
     """Add `name`: the product of `factor` (a column of the intervals) over all intervals with
-    start <= time <= end, 1 if none.
+    start <= time <= end, 1 if none; with `log_name` also the product's logarithm (null for a negative product).
 
     No pair of time and interval is formed: an interval multiplies from its start and divides after its
     end. The product is carried as the sum of logarithms with counts of negative and zero factors, each
@@ -62,7 +62,12 @@ def running_cover_product(left: DataFrame, intervals: DataFrame, time: str, star
     r = flow.join(offsets, "__span").withColumns({n: F.sum(n).over(upto) + F.col(f"{n}_o") for n in names}).where("__ask")
     sign = F.when(F.col("__neg") % 2 == 0, 1.0).otherwise(-1.0)
     product = F.when(F.col("__zero") > 0, 0.0).otherwise(sign * F.exp("__log"))
-    return left.join(r.select(time, product.alias(name)), time, "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+    if not log_name:
+        return left.join(r.select(time, product.alias(name)), time, "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+    log = F.when(F.col("__zero") > 0, F.lit(float("-inf"))).when(sign > 0, F.col("__log"))
+    found = r.select(time, product.alias(name), log.alias(log_name), F.lit(True).alias("__found"))
+    out = left.join(found, time, "left").withColumns({name: F.coalesce(name, F.lit(1.0)), log_name: F.when(F.col("__found").isNull(), 0.0).otherwise(F.col(log_name))})
+    return out.drop("__found")
 
 
 def cover_product(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, factor: Column,

@@ -51,8 +51,8 @@ def jn2(spark, root):
     FROM obs o LEFT JOIN city_events e ON o.{TS} BETWEEN e.start_time AND e.end_time GROUP BY 1""")
 def jn3(spark, root):
     o = fx.obs(spark, root).select("event_id", "timestamp")
-    # products of two-digit factors sit on rounding ties, their logarithms do not
-    return op.event_impact(o, fx.city_events(spark, root)).select("event_id", F.log("event_impact").alias("log_impact"))
+    # products of two-digit factors sit on rounding ties, their logarithms do not, and stay finite
+    return op.event_impact(o, fx.city_events(spark, root)).select("event_id", "log_impact")
 
 
 @query("jn4_event_impact_near", ctes("obs", "city_events") + f"""SELECT o.event_id, round(least(greatest(coalesce(product(1 +

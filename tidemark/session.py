@@ -30,9 +30,13 @@ def settle(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a private one only where the cluster names none (tests)."""
+    """The cluster's shared scratch folder; a private one only in local mode, where driver and tasks share the machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="tidemark-")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 def cut(df: DataFrame) -> DataFrame:
