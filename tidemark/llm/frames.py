@@ -19,6 +19,14 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % parts
 
 
+def drawn(rows: DataFrame, per_label: int) -> DataFrame:
+    """About `per_label` rows of each label, chosen by a hash of doc_id; the labels are a small set (at most some hundreds)."""
+    share = F.lit(0.0)
+    for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect():
+        share = F.when(F.col("label") == F.lit(r["label"]), min(1.0, per_label / r["n"])).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20) < share)
+
+
 def labelled_windows(rows: DataFrame, per_label: int, chars: int, pieces: int) -> list:
     """A bounded sample for training: (label, text) rows on the driver.
 
@@ -27,17 +35,10 @@ def labelled_windows(rows: DataFrame, per_label: int, chars: int, pieces: int) -
     a label is expected to be one of a small set (at most some hundreds).
     """
     known = rows.where(F.col("label").isNotNull() & (F.length("text") > 0))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == F.lit(label), min(1.0, per_label / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     size = F.length("text")
     at = [F.pmod(F.xxhash64("doc_id", F.lit(11 + k)), F.greatest(size - chars, F.lit(0)) + 1).cast("int") for k in range(pieces)]
     cuts = [F.substring("text", at[0] + 1, chars)] + [F.when(size > chars, F.substring("text", a + 1, chars)) for a in at[1:]]
-    return known.where(draw < share).select("label", F.concat_ws("\n", *cuts).alias("text"), F.xxhash64("doc_id", "text").alias("key")).orderBy("key").collect()
+    return drawn(known, per_label).select("label", F.concat_ws("\n", *cuts).alias("text"), F.xxhash64("doc_id", "text").alias("key")).orderBy("key").collect()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

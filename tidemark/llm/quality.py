@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.blocks import Rolling, BYTE_VALUES, attach, blocks, mix, words
-from tidemark.llm.frames import fold_of, labelled_windows
+from tidemark.llm.frames import drawn, fold_of, labelled_windows
 
 BUCKETS_LOG2 = 18
 DEPTH = 10
@@ -96,9 +96,11 @@ def train(sample: list[tuple[int, str]], epochs: int = 8, rate: float = 2.0, see
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2) -> Subwords:
     """A model learned from labelled rows outside fold `held`: about `per_label` documents of each label, four windows of 750 code
     points each, the one bounded sample of this operator. Rows whose label is null, and labels of unknown documents, teach nothing."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(fold_of(F.col("doc_id"), folds) != held)
-    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1)")
-    got = labelled_windows(rows.join(marks.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id"), per_label, 750, 4)
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    marks = marks.where("label in (0, 1)").where(fold_of(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max("label").alias("label"))
+    # the sample is drawn from the labels, so that no text is shuffled; about 2 x per_label ids are broadcast
+    got = labelled_windows(base.join(F.broadcast(drawn(marks, per_label)), "doc_id"), per_label, 750, 4)
     return train([(r["label"], r["text"]) for r in got])
 
 
