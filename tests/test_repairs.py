@@ -8,8 +8,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, learning, maintenance
+from tidemark.operators import drift, joins, learning, maintenance
 from tidemark.operators.correlation import kendall
+from tidemark.plans import ordered
 from tidemark.session import shared_dir
 
 T0 = dt.datetime(2024, 1, 1, 12)
@@ -68,3 +69,34 @@ def test_no_private_folder_off_local_mode(spark):
     with pytest.raises(ValueError):
         shared_dir(Far)
     assert shared_dir(spark)
+
+
+def test_short_features_keep_their_row(spark):
+    a = spark.createDataFrame([(float(i), 1.0 if i < 3 else None, 2.0) for i in range(40)], "x double, few double, gone double")
+    b = spark.createDataFrame([(float(i + 20), 1.0, None) for i in range(40)], "x double, few double, gone double")
+    got = {r["feature"]: r for r in drift.two_sample(a, b, ["x", "few", "gone"], 10).collect()}
+    assert got["x"]["drift_score"] == 0.5 and got["x"]["is_drift_detected"]
+    assert (got["few"]["n_reference"], got["few"]["drift_score"], got["few"]["p_value"], got["few"]["is_drift_detected"]) == (3, 0.0, None, None)
+    assert (got["gone"]["n_current"], got["gone"]["drift_score"], got["gone"]["p_value"]) == (0, None, None)
+
+
+def test_one_place_is_a_cluster(spark):
+    df = spark.createDataFrame([(1, 41.0, 2.0), (2, 41.0, 2.0), (3, None, 2.0)], "id int, latitude double, longitude double")
+    got = learning.geo_clusters(df)
+    assert dict(got.dtypes)["location_cluster"] == "bigint"
+    assert {r["id"]: r["location_cluster"] for r in got.collect()} == {1: 0, 2: 0, 3: -1}
+
+
+def test_slices_grow_with_the_values(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 20)
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    assert ordered.sliced(df, "v").groupBy(ordered.SLICE).count().agg(F.max("count"), F.count("*")).first()[1] >= 45
+    got = ordered.running(df, "v").where("v = 700").first()
+    assert (got["n_below"], got["n_total"]) == (700, 1000)
+
+
+def test_rows_are_scored_by_any_registered_model(spark):
+    rows = spark.createDataFrame([(1, 2.0, "m1", None), (2, 2.0, "m2", None), (3, 2.0, None, "no model for c")], "id int, x double, model_id string, error string")
+    models = spark.createDataFrame([("m1", 1.0, [3.0])], "model_id string, intercept double, coefficients array<double>")
+    got = {r["id"]: (r["predicted"], r["error"]) for r in learning.score_registered(rows, models, ["x"]).collect()}
+    assert got == {1: (7.0, None), 2: (None, "model not loaded: m2"), 3: (None, "no model for c")}

@@ -84,7 +84,10 @@ def drift_decision(metrics: DataFrame, limits: dict[str, float] = DRIFT_LIMITS)
 
 def two_sample(reference: DataFrame, current: DataFrame, cols: Sequence[str], min_samples: int = 1000, alpha: float = 0.05,
                keys: Sequence[str] = ()) -> DataFrame:
-    """Two-sample distance and p-value per feature from running counts over distinct values."""
+    """Two-sample distance and p-value per feature from running counts over distinct values.
+
+    A feature with fewer than `min_samples` values on a side keeps its row without p-value and decision; one that a side lacks
+    altogether has no distance either."""
     def side(df, ref):
         return long_form(df, cols, keys, name="feature").where(F.col("v").isNotNull()).groupBy(*keys, "feature", "v").agg(
             F.sum(F.lit(1 if ref else 0)).alias("a"), F.sum(F.lit(0 if ref else 1)).alias("b"))
@@ -92,11 +95,12 @@ def two_sample(reference: DataFrame, current: DataFrame, cols: Sequence[str], mi
     by = [*keys, "feature"]
     f = side(reference, True).unionByName(side(current, False)).groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     r = running(f, "v", by, ["a", "b"])
-    gap = F.abs((F.col("a_below") + F.col("a")) / F.col("a_total") - (F.col("b_below") + F.col("b")) / F.col("b_total"))
-    s = r.where((F.col("a_total") > 0) & (F.col("b_total") > 0)).groupBy(*by).agg(
+    gap = F.abs(F.try_divide(F.col("a_below") + F.col("a"), F.col("a_total")) - F.try_divide(F.col("b_below") + F.col("b"), F.col("b_total")))
+    s = r.groupBy(*by).agg(
         F.max(gap).alias("drift_score"), F.max("a_total").alias("n_reference"), F.max("b_total").alias("n_current"))
-    p = ks_p_value(F.col("drift_score"), F.col("n_reference"), F.col("n_current"))
-    return s.where(F.least("n_reference", "n_current") >= min_samples).withColumn("p_value", p).withColumn(
+    enough = (F.least("n_reference", "n_current") >= min_samples) & F.col("drift_score").isNotNull()
+    p = F.when(enough, ks_p_value(F.col("drift_score"), F.greatest("n_reference", F.lit(1)), F.greatest("n_current", F.lit(1))))
+    return s.withColumn("p_value", p).withColumn(
         "is_drift_detected", F.col("p_value") < alpha).withColumn("sample_size", F.least("n_reference", "n_current"))
 
 

@@ -189,6 +189,14 @@ def score_routed(routed: DataFrame, models: dict[str, PipelineModel], model_col:
     return out.withColumn("error", F.when(F.col("predicted").isNull(), F.coalesce(F.col("error"), F.concat(F.lit("model not loaded: "), F.col(model_col)))))
 
 
+def score_registered(routed: DataFrame, models: DataFrame, numeric: Sequence[str], model_col: str = "model_id") -> DataFrame:
+    """Rows scored by the linear model they are routed to, for any number of models in one join; models: model_col, intercept,
+    coefficients. A row without a model, or whose model is absent, keeps an empty prediction and an error."""
+    scored = score_linear(routed, models, model_col, numeric)
+    absent = F.concat(F.lit("model not loaded: "), F.col(model_col))
+    return scored.withColumn("error", F.when(F.col("predicted").isNull(), F.coalesce(F.col("error"), absent)))
+
+
 def compare_regressors(train: DataFrame, test: DataFrame, kinds: dict[str, dict], numeric, categorical, label: str, ids: Sequence[str], top: int = 3) -> DataFrame:
     """Metrics of every regressor and of the mean of the best `top` by R²."""
     train, test = cut(train), cut(test)
@@ -277,11 +285,11 @@ def screen_groups(train: DataFrame, test: DataFrame, groups: dict[str, tuple[Seq
 
 
 def geo_clusters(df: DataFrame, lat: str = "latitude", lon: str = "longitude", k: int = 5, seed: int = 42, out: str = "location_cluster") -> DataFrame:
-    """k-means over the distinct coordinates, joined back to the rows; a single place is not clustered."""
+    """k-means over the distinct coordinates, joined back to the rows. A single place is cluster 0; rows without coordinates are -1."""
     coords = df.select(lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).distinct()
     n = min(k, coords.limit(k).count())
     if n < 2:
-        return df
+        return df.withColumn(out, F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), 0).otherwise(-1).cast("bigint"))
     v = VectorAssembler(inputCols=[lat, lon], outputCol="__v").transform(coords)
     named = KMeans(k=n, seed=seed, featuresCol="__v", predictionCol=out).fit(v).transform(v).select(lat, lon, F.col(out).cast("bigint").alias(out))
     return df.join(named, [lat, lon], "left").fillna(-1, [out])

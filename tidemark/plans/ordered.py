@@ -2,7 +2,7 @@
 
 Rows are first collapsed to one row per distinct value (map-side combined), so ties and hot values
 cost nothing. Distinct values are then cut into slices at approximate quantiles of the value column
-(a fixed number of numbers on the driver). Running counts are local to a slice plus the totals of
+(one number per slice on the driver). Running counts are local to a slice plus the totals of
 the slices below, so a single hot key still spreads over all slices.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.session import cut
 
 SLICE = "__slice"
+#: Distinct values that a slice should hold at most; one task sorts a slice.
+SLICE_ROWS = 1_000_000
 
 
 def frequencies(df: DataFrame, value: str, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -25,11 +27,11 @@ def frequencies(df: DataFrame, value: str, keys: Sequence[str] = (), weight: Col
 
 
 def sliced(df: DataFrame, value: str) -> DataFrame:
-    """Add a slice number that is monotone in `value`; about as many slices as shuffle partitions."""
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Add a slice number that is monotone in `value`: as many slices as shuffle partitions, more where a slice would pass SLICE_ROWS."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
     num = "__num"
     df = df.withColumn(num, F.col(value).cast("double"))
-    cuts = df.approxQuantile(num, [i / parts for i in range(1, parts)], max(0.001, 0.1 / parts))
+    cuts = df.approxQuantile(num, [i / parts for i in range(1, parts)], 0.1 / parts)
     edges = sorted({c for c in cuts if c is not None})
     if not edges:
         return df.withColumn(SLICE, F.lit(0.0)).drop(num)

@@ -49,7 +49,7 @@ def me2(spark, root):
 
 @query("me3_bootstrap_interval")
 def me3(spark, root):
-    return op.bootstrap_interval(fx.predictions(spark, root), ["order_id", "line", "part_id"], replicates=200)
+    return op.bootstrap_interval(fx.predictions(spark, root), ["order_id", "line", "part_id"])
 
 
 KSQ = """m AS (SELECT count(*)::DOUBLE AS n, avg(pow(e - mu, 3)) / pow(avg(pow(e - mu, 2)), 1.5) AS g1, avg(pow(e - mu, 4)) / pow(avg(pow(e - mu, 2)), 2) AS b2

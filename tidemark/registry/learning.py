@@ -76,13 +76,13 @@ def ml3(spark, root):
 @query("ml4_gbt")
 def ml4a(spark, root):
     train, test = split(spark, root)
-    return evaluated(op.predict(op.fit(train, "gbt", NUMERIC, CATEGORICAL, LABEL, maxIter=20), test))
+    return evaluated(op.predict(op.fit(train, "gbt", NUMERIC, CATEGORICAL, LABEL), test))
 
 
 @query("ml4_random_forest")
 def ml4b(spark, root):
     train, test = split(spark, root)
-    return evaluated(op.predict(op.fit(train, "forest", NUMERIC, CATEGORICAL, LABEL, numTrees=20), test))
+    return evaluated(op.predict(op.fit(train, "forest", NUMERIC, CATEGORICAL, LABEL), test))
 
 
 @query("ml5_linear_family")
@@ -121,8 +121,8 @@ def ml6c(spark, root):
 
 @query("ml7_cross_validation")
 def ml7(spark, root):
-    folded = op.time_folds(frame(spark, root), "timestamp", ["event_id"], 3)
-    return op.cross_validation_report(folded, "gbt", NUMERIC, CATEGORICAL, LABEL, 3, maxIter=10)
+    folded = op.time_folds(frame(spark, root), "timestamp", ["event_id"], 5)
+    return op.cross_validation_report(folded, "gbt", NUMERIC, CATEGORICAL, LABEL, 5)
 
 
 @query("ml8_random_search")
@@ -134,30 +134,35 @@ def ml8(spark, root):
 @query("ml9_impurity_importance")
 def ml9a(spark, root):
     train, _ = split(spark, root)
-    return op.impurity_importance(op.fit(train, "forest", NUMERIC, ["parking_type"], LABEL, numTrees=10), train)
+    return op.impurity_importance(op.fit(train, "forest", NUMERIC, ["parking_type"], LABEL), train)
 
 
 @query("ml9_permutation_importance")
 def ml9b(spark, root):
     train, test = split(spark, root)
-    m = op.fit(train, "gbt", NUMERIC, [], LABEL, maxIter=10)
-    return op.permutation_importance(m, test, ["hour", "humidity"], "event_id", LABEL)
+    m = op.fit(train, "gbt", NUMERIC, [], LABEL)
+    return op.permutation_importance(m, test, NUMERIC, "event_id", LABEL)
 
 
-@query("ml10_batch_scoring")
+@query("ml10_batch_scoring", ctes("obs_weather", extra=FRAME + ", " + jn.REGISTRY) + """, m AS (
+    SELECT r.model_id, regr_intercept(demand, hour) AS i, regr_slope(demand, hour) AS s FROM fr JOIN r USING (location_id) GROUP BY 1 HAVING count(*) >= 50
+    UNION ALL SELECT 'model_global', regr_intercept(demand, hour), regr_slope(demand, hour) FROM fr HAVING count(*) >= 50),
+    p AS (SELECT coalesce(r.model_id, 'model_global') AS model_id, CASE WHEN r.model_id IS NULL THEN 'global' ELSE 'location' END AS route, hour FROM fr LEFT JOIN r USING (location_id))
+    SELECT model_id, route, count(*) AS rows, count(i + s * hour) AS scored, count(*) - count(i + s * hour) AS errors, round(avg(i + s * hour), 5) AS mean_predicted
+    FROM p LEFT JOIN m USING (model_id) GROUP BY 1, 2""", digits=5)
 def ml10(spark, root):
-    f = frame(spark, root)
-    models = {"model_1": op.fit(f.where(F.col("location_id") == "LOC_1"), "linear", NUMERIC[:1], [], LABEL),
-              "model_global": op.fit(f, "linear", NUMERIC, ["parking_type"], LABEL)}
-    routed = joins.route_models(f, jn.registry(spark, root))
-    return op.score_routed(routed, models).groupBy("model_id", "route").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("predicted").alias("scored"), F.count("error").alias("errors"))
+    f, known = frame(spark, root), jn.registry(spark, root)
+    own = op.linear_by_key(f, "location_id", ["hour"], LABEL).join(known, "location_id").select("model_id", "intercept", "coefficients")
+    world = op.linear_by_key(f.withColumn("model_id", F.lit("model_global")), "model_id", ["hour"], LABEL).select("model_id", "intercept", "coefficients")
+    scored = op.score_registered(joins.route_models(f, known), own.unionByName(world), ["hour"])
+    return scored.groupBy("model_id", "route").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("predicted").alias("scored"), F.count("error").alias("errors"), F.avg("predicted").alias("mean_predicted"))
 
 
 @query("ml11_compare_and_ensemble")
 def ml11(spark, root):
     train, test = split(spark, root)
-    kinds = {"gbt": {"maxIter": 10}, "forest": {"numTrees": 10}, "linear": {}, "ridge": {}}
+    kinds = dict.fromkeys(("gbt", "forest", "linear", "ridge", "lasso", "elastic_net"), {})
     return op.compare_regressors(train, test, kinds, NUMERIC, CATEGORICAL, LABEL, ["event_id"])
 
 
@@ -202,7 +207,7 @@ def ml14b(spark, root):
 def ml15(spark, root):
     train, test = split(spark, root)
     groups = {"time": (["hour", "weekday", "is_weekend"], []), "weather": (["temperature", "humidity", "wind_speed", "precipitation"], []), "place": (["capacity"], ["parking_type"])}
-    return op.screen_groups(train, test, groups, LABEL, numTrees=10)
+    return op.screen_groups(train, test, groups, LABEL)
 
 
 @query("ml16_geo_clusters")
