@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, fingerprints, fmindex, language, lines, pieces, quality, repeats, secrets, simhash
+from tidemark.llm import decontaminate, fingerprints, fmindex, language, lines, near, pieces, quality, repeats, secrets, simhash
 from tidemark.llm.components import components
 from tidemark.llm.queries import ORACLE, QUERIES
 
@@ -223,9 +223,48 @@ def test_simhash_of_odd_rows(odd):
     assert len(got) == len(ODD) and simhash.near_duplicates(empty(odd)).count() == 0
     zero = [r for r in got if r["fingerprint"] == "0" * 16]
     assert {r["doc_id"] for r in zero} == {1, 2, 3, None} and {r["component_id"] for r in zero} == {1}
-    kept = simhash.first_of_each(odd)
+    kept = near.first_of_each(odd)
     assert kept.columns == odd.columns and [r["doc_id"] for r in kept.collect()].count(4) == 1
-    assert {1} == {r["doc_id"] for r in kept.collect()} & {1, 2, 3} and simhash.first_of_each(empty(odd)).count() == 0
+    assert {1} == {r["doc_id"] for r in kept.collect()} & {1, 2, 3} and near.first_of_each(empty(odd)).count() == 0
+
+
+def edited(seed, groups, copies, most):
+    """Texts of 150 words; of each base so many copies, in which up to `most` words are replaced."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = rng.integers(0, 5000, 150)
+        for _ in range(copies):
+            words = base.copy()
+            words[rng.choice(150, rng.integers(0, most + 1), replace=False)] = rng.integers(0, 5000)
+            out.append(" ".join(f"w{k}" for k in words))
+    return out
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    made = edited(4, 40, 4, 8)
+    sets = [set(near.shingles(t.encode()).tolist()) for t in made]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    label = list(range(len(made)))
+    while (new := [min(label[j] for j in range(len(made)) if alike(sets[i], sets[j])) for i in range(len(made))]) != label:
+        label = new
+    got = {r["doc_id"] for r in near.first_of_each(spark.createDataFrame(list(enumerate(made)), "doc_id int, text string")).collect()}
+    want = {k for k in range(len(made)) if label[k] == k}
+    links = len(made) - len(want)
+    assert want <= got and len(got - want) <= 0.1 * links, (len(got - want), links)
+
+
+def test_repeated_shingles_do_not_make_texts_alike(spark):
+    rows = [(k, "spam " * 500 + " ".join(f"{c}{j}" for j in range(40))) for k, c in enumerate("ab")]
+    assert near.first_of_each(spark.createDataFrame(rows, "doc_id int, text string")).count() == 2
+
+
+def test_crowded_buckets_keep_a_group_together(spark):
+    made = edited(5, 1, 300, 3)
+    prints = near.with_print(spark.createDataFrame([(t,) for t in made], "text string"), "text").distinct()
+    found = near.candidates(prints, bucket=16)
+    assert found.count() < 32 * 2 * prints.count()
+    assert components(found).select("root").distinct().count() == 1
 
 
 # 6, 9 ---------------------------------------------------------------------------------------------------------------------------

@@ -220,21 +220,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), (F.count("*") - 1).alias("links"))
     named = cut(rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "links"))
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")
-
-
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most: int = 3) -> DataFrame:
-    """The documents, less all but one of each near-duplicate group: the one with the smallest id (ties by a hash of the text) stays.
-
-    All columns of docs stay. Of equal rows one stays. Documents without an id are kept only where no other document of their group has one."""
-    base = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.xxhash64("__text").alias("tie"))
-    marked = cut(with_fingerprint(base, "__text", words, "fp").select("fp", place.alias("place")))
-    firsts = marked.groupBy("fp").agg(F.min("place").alias("place"))
-    rooted = firsts.join(classes(marked, most), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = lambda i, none, tie: {"__a": F.coalesce(i.cast("string"), F.lit("")), "__b": none, "__c": tie}
-    best = rooted.groupBy("root").agg(F.min("place").alias("place"))
-    kept = cut(best.select(*[c.alias(k) for k, c in named(F.col("place.id"), F.col("place.none"), F.col("place.tie")).items()]))
-    own = F.col(f"`{id_col}`")
-    tagged = docs.withColumns(named(own, own.isNull(), F.xxhash64(F.col(f"`{text_col}`").cast("string"))))
-    keys = ["__a", "__b", "__c"]
-    return tagged.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
