@@ -254,6 +254,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert want <= got and len(got - want) <= 0.1 * links, (len(got - want), links)
 
 
+@pytest.mark.parametrize("seed, groups, copies, most", [(4, 40, 4, 8), (6, 1, 120, 12), (7, 3, 60, 16)])
+def test_near_duplicates_lose_no_link(spark, seed, groups, copies, most):
+    made = ["one page template with a common line of twelve words " + t for t in edited(seed, groups, copies, most)]
+    sets = [set(near.shingles(t.encode()).tolist()) for t in made]
+    linked = [[j for j in range(len(made)) if len(a & sets[j]) >= 0.8 * len(a | sets[j])] for a in sets]
+    label = list(range(len(made)))
+    while (new := [min(label[j] for j in js) for js in linked]) != label:
+        label = new
+    got = {r["doc_id"] for r in near.first_of_each(spark.createDataFrame(list(enumerate(made)), "doc_id int, text string")).collect()}
+    assert got == {k for k in range(len(made)) if label[k] == k}
+
+
 def test_repeated_shingles_do_not_make_texts_alike(spark):
     rows = [(k, "spam " * 500 + " ".join(f"{c}{j}" for j in range(40))) for k, c in enumerate("ab")]
     assert near.first_of_each(spark.createDataFrame(rows, "doc_id int, text string")).count() == 2
