@@ -420,6 +420,15 @@ def test_weak_parts_need_their_complement(spark):
     assert got[1]["spans"] == "identifier:0:12,secret:18:36" and got[7]["spans"] == ""
 
 
+def test_long_and_marked_secrets_are_weak_parts(spark):
+    values = ["pwd=abcdef123456", "password = Tr0ub4dor&3xyz", "password: Summer#2024!Rain", "secret=P@ssw0rd2024x", "token=abc^def~ghi?klm", "password=abcdefghijkl"]
+    rows = [(k, f"login: anna7 {v} at https://db.example.com") for k, v in enumerate(values)]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for k, v in enumerate(values[:-1]):
+        assert f"secret:13:{13 + len(v)}" in got[k]["spans"].split(",") and got[k]["n_linked"] == 3, v
+    assert got[5]["spans"] == f"identifier:0:12,assign:13:34,endpoint:38:60" and got[5]["n_linked"] == 2
+
+
 def test_secrets_of_odd_rows(odd):
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(empty(odd)).count() == 0
 

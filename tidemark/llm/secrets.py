@@ -15,7 +15,8 @@ BASE = {
 #: Parts that mean little alone.
 WEAK = {
     "identifier": r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
-    "secret": r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!#$%&*-]{4,11}(?![A-Za-z0-9+/_.=!#$%&*-])|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""",
+    # any value of 4 or more characters up to white space, a quote, a bracket or a separator
+    "secret": r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[^\s"'<>,;(){}\[\]`|\\]{4,}|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""",
     "endpoint": r"""https?://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])""",
 }
 KINDS = [*BASE, *WEAK]
@@ -79,6 +80,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         *[_spans(F.col("text"), k, p, g, n).alias(k) for k, (p, g, n) in BASE.items()],
         *[_spans(F.col("text"), k, p).alias(k) for k, p in WEAK.items()],
     )
+    # a weak secret that is a base span as it stands adds nothing
+    marked = marked.withColumn("secret", F.filter("secret", lambda w: ~F.exists(F.concat("assign", "hex"), lambda b: (b["start"] == w["start"]) & (b["end"] == w["end"]))))
     union = lambda kinds: F.concat(*[F.col(k) for k in kinds])
     # only texts with an identifier and a secret can hold a linked credential
     some = lambda kinds: reduce(lambda a, b: a | b, [F.size(k) > 0 for k in kinds])
