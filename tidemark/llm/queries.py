@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, fingerprints, fmindex, language, lines, pieces, quality, repeats, secrets, simhash
+from tidemark.llm import audit, decontaminate, fingerprints, fmindex, language, lines, pieces, quality, repair, repeats, repetition, secrets, simhash
 from tidemark.llm.frames import fold_of, read_table
 from tidemark.llm.oracles import ORACLE as ORACLE
 
@@ -61,11 +61,27 @@ def op10_multipart_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scan(read_table(spark, root, "documents"))
 
 
+def op11_repetition_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """Counts of repeated words, characters and lines of every document, and whether it is kept."""
+    return repetition.repetition(read_table(spark, root, "documents"))
+
+
+def op12_filter_interactions(spark: SparkSession, root: str) -> DataFrame:
+    """Every order of the five filters, step by step, for each source."""
+    return audit.interactions(read_table(spark, root, "documents"), read_table(spark, root, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, root: str) -> DataFrame:
+    """The cheapest edits that mend every conversation after the planted damage."""
+    return repair.audit(read_table(spark, root, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_line_templates, op3_spaced_seed_decontamination, op4_language_id, op5_simhash_gray_index,
         op6_fm_index_substrings, op7_sentencepiece_lattice, op8_quality_subwords, op9_maximal_repeats, op10_multipart_secrets,
+        op11_repetition_coverage, op12_filter_interactions, op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 if corpus_pipeline.ORACLE_SQL:
