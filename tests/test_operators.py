@@ -284,14 +284,6 @@ def test_permutation_keeps_the_values(spark):
     assert sorted(column(out, "v")) == [float(i) for i in range(50)] and out.where("v != id").count() > 30
 
 
-def test_calibration_lowers_the_error(spark):
-    rows = [(i % 7 / 7.0, 1.0, 0.5, 40.0 + i % 24, 0.9, 0.0, 30.0 + i % 24) for i in range(200)]
-    df = spark.createDataFrame(rows, "traffic_sensitivity double, zone_influence double, weather_impact double, time_pattern double, capacity_factor double, special_event double, y double")
-    seen = []
-    w = {r["weight"]: r["value"] for r in learning.calibrate_weights(df, "y", 4, report=lambda e, m: seen.append(m)).collect()}
-    assert math.isclose(sum(w.values()), 1.0, rel_tol=1e-9) and len(seen) == 4 and min(seen) <= seen[0]
-
-
 def test_unknown_metric_is_refused(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "actual double, predicted double")
     with pytest.raises(ValueError):

@@ -23,8 +23,6 @@ SMOOTH_COMFORT = {"optimal": 22.0, "winter": -3.0, "summer": 2.0, "width": 5.0,
 
 # Traffic level of the rule model: base, weekday / weekend factors, peaks (start, end, factor).
 TRAFFIC = {"base": 0.5, "weekday": 1.2, "weekend": 0.8, "peaks": [(7, 9, 1.5), (16, 19, 1.4)]}
-# Traffic level of the smooth model: base, peak height, peak starts and ends.
-SMOOTH_TRAFFIC = {"base": 0.4, "peak": 0.8, "morning": (7, 10), "evening": (16, 19)}
 
 # City centre (latitude, longitude) and reach of its influence in km.
 CENTRE = (41.3851, 2.1734)
@@ -39,17 +37,6 @@ ZONES = [
     ("beach_area", 41.3751, 2.1925, 0.01, 0.9),
 ]
 
-# Smooth daily pattern per facility type: base, amplitude, peaks (start, end, height), weekend factor.
-DAILY_PATTERNS = {
-    "Public": {"base": 50.0, "amplitude": 30.0, "peaks": [(8, 10, 20.0), (17, 19, 15.0)], "weekend": 0.7},
-    "Resident": {"base": 70.0, "amplitude": 20.0, "peaks": [(7, 9, -25.0), (18, 20, 25.0)], "weekend": 1.2},
-    "Mixed": {"base": 60.0, "amplitude": 25.0, "peaks": [(8, 10, 15.0), (17, 19, 20.0)], "weekend": 0.9},
-}
-
-# Occupancy multipliers on weekends and holidays.
-WEEKEND_FACTOR = 0.7
-HOLIDAY_FACTOR = 0.6
-
 # Capacity factor by facility type.
 TYPE_FACTORS = {"Public": 1.0, "Resident": 0.9, "Mixed": 0.95}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions import calendar, demand, weather
+from tidemark.functions import demand, weather
 from tidemark.operators.evaluation import fold_summary, regression_metrics
 from tidemark.plans.ordered import sorted_codes, with_group_stats
 from tidemark.plans.scalars import with_row, with_stats
@@ -293,48 +293,3 @@ def geo_clusters(df: DataFrame, lat: str = "latitude", lon: str = "longitude", k
     v = VectorAssembler(inputCols=[lat, lon], outputCol="__v").transform(coords)
     named = KMeans(k=n, seed=seed, featuresCol="__v", predictionCol=out).fit(v).transform(v).select(lat, lon, F.col(out).cast("bigint").alias(out))
     return df.join(named, [lat, lon], "left").fillna(-1, [out])
-
-
-# Start of the weight calibration and its step rules.
-START_WEIGHTS = {"traffic_sensitivity": 0.4, "zone_influence": 0.3, "weather_impact": 0.2, "time_pattern": 0.5, "capacity_factor": 0.2, "special_event": 0.3}
-STEP, DELTA, MIN_GAIN, PATIENCE = 0.01, 0.01, 0.0001, 10
-
-
-def weight_components(df: DataFrame, event_impact: Column | None = None, time: str = "timestamp") -> DataFrame:
-    """The six weighted terms of the demand model per row."""
-    ts = F.col(time)
-    z = demand.zone_factors(F.col("latitude"), F.col("longitude"), F.col("capacity"), F.col("parking_type"))
-    zones = sum((c for n, c in z.items() if n.endswith("_influence")), F.lit(0.0))
-    w = weather.unweighted_factor(F.col("temperature"), F.col("wind_speed"), F.col("precipitation"), F.month(ts))
-    return df.withColumns({
-        "time_pattern": demand.daily_pattern(F.col("parking_type"), ts), "traffic_sensitivity": demand.traffic_level(ts, event_impact) * z["traffic_sensitivity"],
-        "zone_influence": zones, "weather_impact": w, "capacity_factor": z["capacity_factor"],
-        "special_event": F.coalesce(event_impact, F.lit(0.0)) if event_impact is not None else F.lit(0.0)})
-
-
-def calibrate_weights(components: DataFrame, label: str, epochs: int = 100, start: dict[str, float] = START_WEIGHTS,
-                      report: Callable[[int, float], None] | None = None) -> DataFrame:
-    """Numeric gradient descent on the mean squared error: every epoch is one aggregation that gives the
-    error and all gradients. Weights are clipped to [0, 1] and normalised; the best epoch is returned."""
-    rows = cut(components.select(*start, F.col(label).cast("double").alias("__y")).dropna())
-    weights, best, best_error = dict(start), dict(start), float("inf")
-
-    def score(w):
-        return demand.clip(sum((F.lit(float(v)) * F.col(n) for n, v in w.items()), F.lit(0.0)), 0.0, 100.0)
-
-    for epoch in range(epochs):
-        p = score(weights)
-        steps = {n: max(abs(v) * DELTA, 1e-9) for n, v in weights.items()}
-        grads = [F.avg((score({**weights, n: weights[n] + d}) - p) * (p - F.col("__y")) / d).alias(n) for n, d in steps.items()]
-        one = rows.agg(F.avg((p - F.col("__y")) * (p - F.col("__y"))).alias("__mse"), *grads).first()  # seven numbers
-        error = one["__mse"]
-        if report:
-            report(epoch, error)
-        moved = {n: min(max(v - STEP * one[n], 0.0), 1.0) for n, v in weights.items()}
-        total = sum(moved.values()) or 1.0
-        weights = {n: v / total for n, v in moved.items()}
-        if error < best_error - MIN_GAIN:
-            best_error, best = error, dict(weights)
-        elif epoch > PATIENCE:
-            break
-    return components.sparkSession.createDataFrame([(n, float(v), float(best_error)) for n, v in sorted(best.items())], "weight string, value double, best_error double")

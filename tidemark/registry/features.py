@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.fixtures import ctes
 from tidemark.functions import calendar, demand, weather
-from tidemark.functions.constants import DAILY_PATTERNS, HOUR_PATTERNS, ZONES
+from tidemark.functions.constants import HOUR_PATTERNS, ZONES
 from tidemark.functions.geo import EARTH_M, haversine
 from tidemark.operators import features as op
 from tidemark.registry.core import query
@@ -282,62 +282,6 @@ def sc25(spark, root):
         F.col("parking_type"), F.hour(ts), calendar.is_weekend(ts)).alias("arrival_probability"))
 
 
-def daily_sql(kind):
-    p = DAILY_PATTERNS[kind]
-    daily = f"({p['base']} + {p['amplitude']} * sin(2 * pi() * ({HM} - 8) / 24))"
-    peaks = " + ".join(f"{a} * exp(-pow({HM} - {(s + e) / 2}, 2) / (2 * pow({(e - s) / 4}, 2)))" for s, e, a in p["peaks"])
-    if kind == "Resident":
-        daily += (f" * CASE WHEN NOT {WE} AND {HM} BETWEEN 7 AND 9 THEN 0.7 WHEN NOT {WE} AND {HM} BETWEEN 17 AND 19 THEN 1.3"
-                  " ELSE 1.0 END")
-    if kind == "Public":
-        daily += f" * CASE WHEN {HM} BETWEEN 8 AND 20 THEN 1.0 ELSE 0.6 END"
-        peaks += f" + 15 * exp(-pow({HM} - 14, 2) / 8)"
-    curve = f"({daily} + {peaks}) * CASE WHEN {WE} THEN {p['weekend']} ELSE 1.0 END"
-    if kind == "Public":
-        curve = f"({curve}) * (1 + 0.2 * sin(2 * pi() * (month({TS}) - 6) / 12))"
-    return curve
-
-
-DAILY_SQL = "CASE parking_type " + " ".join(f"WHEN '{k}' THEN {daily_sql(k)}" for k in DAILY_PATTERNS) + " END"
-
-
-@query("sc26_daily_pattern", ctes("obs") + f"SELECT event_id, {r(DAILY_SQL, 'daily_pattern')} FROM obs")
-def sc26(spark, root):
-    return fx.obs(spark, root).select("event_id", demand.daily_pattern(F.col("parking_type"), F.col("timestamp")).alias("daily_pattern"))
-
-
-LEVEL_SQL = f"""least(greatest(0.4 + CASE WHEN NOT {WE} THEN CASE WHEN {HM} BETWEEN 7 AND 10 THEN 0.8 * sin(pi() * ({HM} - 7) / 3)
-    WHEN {HM} BETWEEN 16 AND 19 THEN 0.8 * sin(pi() * ({HM} - 16) / 3) ELSE 0 END
-    WHEN {HM} BETWEEN 11 AND 20 THEN 0.3 * sin(pi() * ({HM} - 11) / 9) ELSE 0 END
-    + coalesce(day_impact, 0) * sin(pi() * {HM} / 24), 0.0), 1.0)"""
-DAY_IMPACT_SQL = """di AS (SELECT CAST(start_time AS DATE) AS d, max(impact_factor) AS day_impact FROM city_events GROUP BY 1)"""
-
-
-@query("sc27_traffic_level", ctes("obs", "city_events", extra=DAY_IMPACT_SQL) + f"""SELECT event_id, {r(LEVEL_SQL, 'traffic_level')}
-    FROM obs LEFT JOIN di ON CAST({TS} AS DATE) = di.d""")
-def sc27(spark, root):
-    days = fx.city_events(spark, root).groupBy(F.to_date("start_time").alias("d")).agg(F.max("impact_factor").alias("day_impact"))
-    o = fx.obs(spark, root).withColumn("d", F.to_date("timestamp")).join(days, "d", "left")
-    return o.select("event_id", demand.traffic_level(F.col("timestamp"), F.col("day_impact")).alias("traffic_level"))
-
-
-HOLIDAY_SQL = "CAST({0} AS DATE) IN (DATE '2024-01-01', DATE '2024-01-06', DATE '2024-01-17')"
-
-
-def ramp_sql(start, end, target):
-    return f"(1 + least(greatest(({HM} - {start}) / {end - start}, 0), 1) * ({target} - 1))"
-
-
-@query("sc28_weekend_holiday_factor", ctes("obs") + f"""SELECT event_id, {r(f'''(CASE WHEN {WD} = 4 AND {HM} >= 15 THEN {ramp_sql(15, 20, 0.7)}
-    WHEN {WE} THEN 0.7 ELSE 1.0 END) * (CASE WHEN {HOLIDAY_SQL.format(TS)} THEN 0.6
-    WHEN {HOLIDAY_SQL.format(TS + ' + INTERVAL 1 DAY')} AND {HM} >= 15 THEN {ramp_sql(15, 23, 0.6)} ELSE 1.0 END)''', 'factor').replace(', 6)', ', 9)')} FROM obs""", digits=9)
-def sc28(spark, root):
-    ts = F.col("timestamp")
-    days = [F.lit(d).cast("date") for d in ("2024-01-01", "2024-01-06", "2024-01-17")]
-    holiday, eve = F.to_date(ts).isin(days), F.date_add(F.to_date(ts), 1).isin(days)
-    return fx.obs(spark, root).select("event_id", demand.weekend_holiday_factor(ts, holiday, eve).alias("factor"))
-
-
 SCORE_SQL = f"""least(greatest(0.5 * coalesce({PATTERN_SQL}, {pattern_sql('Public')}) * 100
     + 0.4 * {TRAFFIC_SQL} * (0.3 + 0.7 * {DOWNTOWN}) + 0.3 * ({DOWNTOWN} + 1 - 0.7 * {DOWNTOWN}) + 0.2 * {FACTOR_SQL}
     + 0.2 * least(1.0, capacity / 500.0), 0.0), 100.0)"""

@@ -13,9 +13,8 @@ from tidemark.operators.evaluation import regression_metrics
 from tidemark.operators.features import categories
 from tidemark.registry import joins as jn
 from tidemark.registry.core import query
-from tidemark.functions.constants import ZONES
 from tidemark.registry.features import (
-    DAILY_SQL, DOWNTOWN, FACTOR_SQL, H, HM, LEVEL_SQL, RAIN_SQL, SMOOTH_SQL, TRAFFIC_SQL, TS, WD, WE, WIND_SQL, pattern_sql,
+    DOWNTOWN, FACTOR_SQL, H, HM, TRAFFIC_SQL, TS, WD, WE, pattern_sql,
 )
 
 NUMERIC = ["hour", "weekday", "is_weekend", "capacity", "temperature", "humidity", "wind_speed", "precipitation"]
@@ -214,23 +213,3 @@ def ml15(spark, root):
 def ml16(spark, root):
     c = op.geo_clusters(fx.points(spark, root), k=5)
     return c.groupBy("location_cluster").agg(F.count(F.lit(1)).alias("points"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
-
-
-def component_sql() -> str:
-    infl = {n: f"exp(-sqrt(pow(latitude - {a}, 2) + pow(longitude - {b}, 2)) / {rad})" for n, a, b, rad, _ in ZONES}
-    w = " + ".join(f"{s} * {infl[n]}" for n, *_, s in ZONES)
-    sens = f"least(greatest(0.5 + ({' + '.join(f'{s} * {s} * {infl[n]}' for n, *_, s in ZONES)}) / ({w}) / 1.5, 0.5), 1.5)"
-    cols = {"time_pattern": DAILY_SQL, "traffic_sensitivity": f"({LEVEL_SQL}) * {sens}", "zone_influence": " + ".join(infl.values()),
-            "weather_impact": f"{SMOOTH_SQL} * {RAIN_SQL} * {WIND_SQL}", "capacity_factor": "1 - 0.1 * capacity / 1000.0"}
-    outs = ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in cols.items())
-    return ctes("obs_weather") + f"SELECT event_id, {outs}, 0.0::DOUBLE AS special_event FROM (SELECT *, NULL::DOUBLE AS day_impact FROM obs_weather)"
-
-
-@query("ml17_components", component_sql())
-def ml17a(spark, root):
-    return op.weight_components(fx.obs_weather(spark, root)).select("event_id", *op.START_WEIGHTS)
-
-
-@query("ml17_weight_calibration")
-def ml17(spark, root):
-    return op.calibrate_weights(op.weight_components(fx.obs_weather(spark, root)), "occupancy", epochs=5)
