@@ -13,7 +13,7 @@ from pyspark.sql import Window, functions as F
 
 from tidemark.operators import windows as win
 from tidemark.operators.correlation import kendall, spearman
-from tidemark.plans import ordered, series, spatial, timejoin
+from tidemark.plans import ordered, series, slices, spatial, timejoin
 from tidemark.session import nan_to_null
 
 T0 = pd.Timestamp("2024-01-01")
@@ -33,6 +33,13 @@ def frame(spark, pdf):
     return nan_to_null(spark.createDataFrame(pdf).withColumn("t", F.col("t").cast("timestamp")))
 
 
+@pytest.fixture(params=[slices.SLICE_ROWS, 40], ids=["whole", "sliced"])
+def both(request, monkeypatch):
+    """Keys that fit into a task, and keys cut into many slices."""
+    monkeypatch.setattr(slices, "SLICE_ROWS", request.param)
+    return request.param
+
+
 def test_quantiles_match_numpy(spark):
     pdf = events(800)
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 0.95, 1.0]
@@ -64,8 +71,8 @@ def test_sorted_codes(spark):
     assert got == {w: i for i, w in enumerate(sorted(set(words)))}
 
 
-@pytest.mark.parametrize("block", [1, 3, 7, 1000])
-def test_row_frame_crosses_blocks(spark, block):
+@pytest.mark.parametrize("block", [None, 1, 3, 1000])
+def test_row_frame_crosses_blocks(spark, block, both):
     pdf = events(300)
     out = series.row_frame(frame(spark, pdf), ["key"], "t", lambda w: {
         "lag2": F.lag("v", 2).over(w), "lead1": F.lead("v", 1).over(w), "s": F.sum("v").over(w.rowsBetween(-2, 1))}, ["id"], 2, 1, block_rows=block)
@@ -92,7 +99,7 @@ def brute_frames(pdf, hours, closed=False):
 
 
 @pytest.mark.parametrize(("hours", "parts"), [(24, 1), (24, 24), (6, 3)])
-def test_sliding_matches_brute_force(spark, hours, parts):
+def test_sliding_matches_brute_force(spark, hours, parts, both):
     pdf = events(400)
     out = series.sliding(frame(spark, pdf), ["key"], "t", hours * 3600, {"n": F.lit(1).cast("bigint"), "s": F.col("v")},
                          extremes={"lo": (F.col("v"), "min"), "hi": (F.col("v"), "max")}, firsts={"first_id": F.date_trunc("minute", "t")}, parts=parts)
@@ -106,14 +113,14 @@ def test_sliding_matches_brute_force(spark, hours, parts):
         assert pd.Timestamp(got[i]["first_id"]) == g["t"].min()
 
 
-def test_sliding_closed_interval(spark):
+def test_sliding_closed_interval(spark, both):
     pdf = events(300)
     out = series.sliding(frame(spark, pdf), ["key"], "t", 3600, {"n": F.lit(1).cast("bigint")}, open_left=False)
     want = brute_frames(pdf, 1, closed=True)
     assert {r["id"]: r["n"] for r in out.collect()} == {i: len(g) for i, g in want.items()}
 
 
-def test_rolling_moments_match_pandas(spark):
+def test_rolling_moments_match_pandas(spark, both):
     pdf = events(400).drop_duplicates(["key", "t"]).reset_index(drop=True)
     got = win.rolling_moments(frame(spark, pdf), ["key"], "t", "v").orderBy("id").toPandas().set_index("id")
     for _, g in pdf.sort_values("t").groupby("key"):
@@ -126,7 +133,7 @@ def test_rolling_moments_match_pandas(spark):
             np.testing.assert_allclose(have[keep], want[keep], rtol=1e-6, atol=1e-6, err_msg=name)
 
 
-def test_ewm_matches_pandas(spark):
+def test_ewm_matches_pandas(spark, both):
     pdf = events(3000, hot=0.95)
     got = win.ewm(frame(spark, pdf), ["key"], "t", "v", ties=["id"]).toPandas().set_index("id")
     for _, g in pdf.sort_values(["t", "id"]).groupby("key"):
@@ -135,7 +142,7 @@ def test_ewm_matches_pandas(spark):
         np.testing.assert_allclose(got.loc[g["id"], "ewm_std"].astype(float), e.std(), rtol=1e-7, atol=1e-9)
 
 
-def test_interpolation_matches_pandas(spark):
+def test_interpolation_matches_pandas(spark, both):
     pdf = events(400).drop_duplicates(["key", "t"]).reset_index(drop=True)
     pdf.loc[pdf["id"] % 3 != 0, "v"] = None
     got = series.interpolate_time(frame(spark, pdf), ["key"], "t", ["v"], ["id"]).toPandas().set_index("id")
@@ -144,7 +151,7 @@ def test_interpolation_matches_pandas(spark):
         np.testing.assert_allclose(got.loc[g["id"], "v"].astype(float).to_numpy(), want.to_numpy(), rtol=1e-9)
 
 
-def test_fill_crosses_empty_spans(spark):
+def test_fill_crosses_empty_spans(spark, both):
     pdf = pd.DataFrame({"id": range(5), "key": "a", "t": [T0 + pd.Timedelta(days=d) for d in (0, 3, 9, 10, 40)], "v": [None, 2.0, None, 5.0, None]})
     out = series.fill_forward_back(frame(spark, pdf), ["key"], "t", ["v"], ["id"]).orderBy("id").toPandas()
     assert out["v"].tolist() == [2.0, 2.0, 2.0, 5.0, 5.0]
@@ -152,7 +159,7 @@ def test_fill_crosses_empty_spans(spark):
     assert back["v"].tolist() == [2.0, 2.0, 5.0, 5.0, 5.0]
 
 
-def test_asof_nearest_matches_brute_force(spark):
+def test_asof_nearest_matches_brute_force(spark, both):
     rng = random.Random(3)
     left = pd.DataFrame({"id": range(200), "t": [T0 + pd.Timedelta(minutes=rng.randrange(5000)) for _ in range(200)]})
     times = sorted({T0 + pd.Timedelta(minutes=10 * rng.randrange(100, 400)) for _ in range(60)})
@@ -245,14 +252,83 @@ def test_correlation_without_variance_is_null(spark):
     assert pearson_with_target(df, ["x"], "y").first()["correlation"] is None
 
 
-def test_no_window_over_a_whole_key(spark):
-    """The frames are partitioned by block as well as key."""
-    df = frame(spark, events(50))
+def test_one_instant_is_cut_into_slices(spark, monkeypatch):
+    """All rows at one time: the tie columns cut it, each slice holds a bounded number of rows, and positions stay right."""
+    monkeypatch.setattr(slices, "SLICE_ROWS", 50)
+    rng = random.Random(8)
+    names = [f"n{rng.randrange(60):02d}" for _ in range(600)]
+    pdf = pd.DataFrame({"id": rng.sample(range(600), 600), "name": [n if i % 9 else None for i, n in enumerate(names)], "key": ["a"] * 550 + ["b"] * 50, "t": T0})
+    df = frame(spark, pdf).withColumn("name", F.col("name"))
+    cut_up = slices.with_slice(df, "t", ["name", "id"], slices.needed(df, ["key"]))
+    sizes = [r["count"] for r in cut_up.groupBy(slices.SLICE).count().collect()]
+    assert len(sizes) > 6 and max(sizes) < 200
+    ends = [r for r in cut_up.groupBy(slices.SLICE).agg(F.min(F.struct("name", "id")).alias("lo"), F.max(F.struct("name", "id")).alias("hi")).orderBy(slices.SLICE).collect()]
+    order = lambda x: (x["name"] is not None, x["name"] or "", x["id"])
+    assert all(order(a["hi"]) < order(b["lo"]) for a, b in zip(ends, ends[1:]))
+    got = {r["id"]: r[series.ORDINAL] for r in series.with_ordinal(df, ["key"], "t", ["name", "id"]).collect()}
+    for _, g in pdf.groupby("key"):
+        want = sorted(g.itertuples(), key=lambda r: (isinstance(r.name, str), r.name if isinstance(r.name, str) else "", r.id))
+        assert [got[r.id] for r in want] == list(range(len(want)))
+
+
+def test_crowded_times_and_null_times_are_ordered(spark, monkeypatch):
+    monkeypatch.setattr(slices, "SLICE_ROWS", 30)
+    rng = random.Random(9)
+    pdf = pd.DataFrame({"id": range(500), "t": [None if i % 5 == 0 else T0 + pd.Timedelta(minutes=rng.choice([3, 3, 3, 7, rng.randrange(60)])) for i in range(500)]})
+    df = spark.createDataFrame(pdf.astype({"t": "datetime64[us]"})).withColumn("t", F.col("t").cast("timestamp"))
+    got = {r["id"]: r[series.ORDINAL] for r in series.with_ordinal(df, [], "t", ["id"]).collect()}
+    want = sorted(pdf.itertuples(), key=lambda r: (not pd.isna(r.t), r.t if not pd.isna(r.t) else T0, r.id))
+    assert [got[r.id] for r in want] == list(range(500))
+
+
+def test_a_large_key_is_not_one_window(spark, monkeypatch):
+    df = frame(spark, events(300))
+    whole = win.lags(df, ["key"], "t", "v", {"1": 1}, ["id"])._jdf.queryExecution().toString()
+    monkeypatch.setattr(slices, "SLICE_ROWS", 40)
     text = win.lags(df, ["key"], "t", "v", {"1": 1}, ["id"])._jdf.queryExecution().toString()
-    assert "__block" in text and Window is not None
+    assert "__block" in text and "__slice" in text and "__block" not in whole and Window is not None
+
+
+def test_rolling_percentiles_match_brute_force(spark, both):
+    pdf = events(350)
+    pdf.loc[pdf["id"] % 11 == 0, "v"] = None
+    probs = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = win.rolling_percentiles(frame(spark, pdf), ["key"], "t", "v", 24, probs).toPandas().set_index("id")
+    assert len(got) == len(pdf)
+    for i, g in brute_frames(pdf, 24).items():
+        have, want = got.loc[i, [f"percentile_{round(p * 100)}" for p in probs]].to_numpy(float), g["v"].dropna()
+        np.testing.assert_allclose(have, np.quantile(want, probs) if len(want) else [np.nan] * 5, rtol=1e-12)
+
+
+def test_percentiles_of_one_instant_and_one_value(spark, both):
+    df = frame(spark, pd.DataFrame({"id": range(120), "key": "a", "t": T0, "v": [float(i % 3) for i in range(120)]}))
+    assert {r["percentile_50"] for r in win.rolling_percentiles(df, ["key"], "t", "v").collect()} == {1.0}
+    assert {r["percentile_50"] for r in win.rolling_percentiles(df.withColumn("v", F.lit(4.0)), ["key"], "t", "v").collect()} == {4.0}
+    none = win.rolling_percentiles(df.withColumn("v", F.lit(None).cast("double")), ["key"], "t", "v").collect()
+    assert len(none) == 120 and {r["percentile_50"] for r in none} == {None}
+
+
+def test_rolling_trend_matches_brute_force(spark, both):
+    pdf = events(350)
+    got = {r["id"]: r["trend_correlation"] for r in win.rolling_trend(frame(spark, pdf), ["key"], "t", "v", 24, ["id"]).collect()}
+    place = {r.id: i for _, g in pdf.groupby("key") for i, r in enumerate(g.sort_values(["t", "id"]).itertuples())}
+    for i, g in brute_frames(pdf, 24).items():
+        x, y = np.array([place[j] for j in g["id"]], float), g["v"].to_numpy()
+        if len(g) < 2 or y.std() < 1e-6:
+            assert got[i] is None
+        else:
+            assert math.isclose(got[i], np.corrcoef(x, y)[0, 1], abs_tol=1e-9)
+
+
+def test_trend_reads_its_source_twice(spark, tmp_path):
+    frame(spark, events(200)).write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e"))
+    plan = win.rolling_trend(df, ["key"], "t", "v", 24, ["id"])._jdf.queryExecution().executedPlan().toString()
+    # one pass counts the keys, one numbers the rows into the checkpoint; the plan that is left reads that
+    assert "FileScan" not in plan
 
 
-def test_rows_without_key_or_time_stay(spark):
+def test_rows_without_key_or_time_stay(spark, both):
     t = T0.to_pydatetime()
     rows = [(1, "a", t, 1.0), (2, None, t, 2.0), (3, None, t + timedelta(hours=2), 3.0), (4, "a", None, 4.0)]
     df = spark.createDataFrame(rows, "id int, key string, t timestamp, v double")

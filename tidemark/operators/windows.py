@@ -7,19 +7,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.plans.ordered import with_group_stats
+from tidemark.plans.ordered import sorted_codes, with_group_stats
 from tidemark.plans.series import (
-    BLOCK, ORDINAL, fill_forward_back, interpolate_time, row_frame, sliding, time_frame, whole, with_ordinal,
+    BLOCK, ORDINAL, alike, fill_forward_back, interpolate_time, row_frame, running_counts, sliding, whole, with_ordinal,
 )
+from tidemark.plans.slices import needed
+from tidemark.session import cut
 
 LAGS = {"1h": 1, "2h": 2, "24h": 24}
 
 
-def lags(df: DataFrame, keys: Sequence[str], time: str, value: str, steps: dict[str, int], ties: Sequence[str] = (),
-         span: str = "hour") -> DataFrame:
+def lags(df: DataFrame, keys: Sequence[str], time: str, value: str, steps: dict[str, int], ties: Sequence[str] = ()) -> DataFrame:
     """`value_lag_name` columns: the value so many rows earlier in the key's order."""
     return row_frame(df, keys, time, lambda w: {f"{value}_lag_{n}": F.lag(value, k).over(w) for n, k in steps.items()},
-                     ties, before=max(steps.values()), span=span)
+                     ties, before=max(steps.values()))
 
 
 def minute_lags(df: DataFrame, keys: Sequence[str], time: str, value: str, minutes: Sequence[int] = (5, 10, 15),
@@ -124,12 +125,58 @@ def rolling_moments(df: DataFrame, keys: Sequence[str], time: str, value: str, h
     }).drop("__mid", "__n", "__1", "__2", "__3", "__4")
 
 
+#: Bits of a value's code that one level of the percentile search decides.
+DIGIT = 4
+
+
 def rolling_percentiles(df: DataFrame, keys: Sequence[str], time: str, value: str, hours: int = 24,
                         percentiles: Sequence[float] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Exact trailing percentiles over (t - hours, t]; every row reads its frame, once for all of them."""
-    out = time_frame(df, keys, time, hours * 3600, lambda w: {
-        "__q": F.percentile(value, F.array(*[F.lit(float(p)) for p in percentiles])).over(w)})
-    return out.withColumns({f"percentile_{round(p * 100)}": F.col("__q")[i] for i, p in enumerate(percentiles)}).drop("__q")
+    """Exact trailing percentiles over (t - hours, t]; no row reads its frame.
+
+    Values get codes in sorted order. A rank is found digit by digit of its code, from the top: within the block of values that share
+    the digits found so far, running counts of what entered and what left give how many rows of the frame have each next digit, and
+    those counts name the digit and the rank inside the smaller block. A level costs one sort of entries, leavings and asks; there
+    are as many levels as the number of distinct values has digits. Rows of one time ask once."""
+    reach, fan = hours * 3600 * 1_000_000, 1 << DIGIT
+    base = df.withColumn("__us", F.unix_micros(time))
+    known = base.where(F.col(value).isNotNull() & F.col("__us").isNotNull())
+    codes = sorted_codes(known, value, "__code")
+    levels = 1
+    while fan**levels < codes.count():
+        levels += 1
+    data = cut(known.groupBy(*keys, "__us", value).agg(F.count(F.lit(1)).alias("__n")).join(codes, value).select(*keys, F.col("__us").alias("__at"), "__code", "__n"))
+    parts = needed(data, keys)
+    cums = [f"__c{d}" for d in range(fan)]
+
+    def level(asks: DataFrame, shift: int, *payload: str) -> DataFrame:
+        """asks with counts: rows of their frame and block whose digit is at most d."""
+        digit = F.shiftright("__code", shift).bitwiseAND(fan - 1)
+        enter = data.select(*keys, F.shiftright("__code", shift + DIGIT).alias("__block"), "__at", *[F.when(digit <= d, F.col("__n")).otherwise(F.lit(0)).alias(c) for d, c in enumerate(cums)])
+        leave = enter.select(*keys, "__block", (F.col("__at") + reach).alias("__at"), *[(-F.col(c)).alias(c) for c in cums])
+        asked = asks.select(*keys, "__block", "__at", F.lit(True).alias("__ask"), *payload)
+        flow = enter.unionByName(leave).unionByName(asked, allowMissingColumns=True)
+        return running_counts(flow, [*keys, "__block"], "__at", cums, parts, F.coalesce("__ask", F.lit(False))).drop("__ask")
+
+    def descend(counted: DataFrame) -> DataFrame:
+        """The block and rank one digit further down."""
+        # running counts grow with the digit: the digits whose rows all rank lower come first
+        passed = F.filter(F.array(*cums[:-1]), lambda c: c <= F.col("__rank"))
+        below, child = F.coalesce(F.get(passed, F.size(passed) - 1), F.lit(0)), F.size(passed)
+        return counted.select(*keys, "__at", "__size", "__want", (F.col("__block") * fan + child).alias("__block"), (F.col("__rank") - below).alias("__rank"))
+
+    place = lambda p: F.lit(float(p)) * (F.col("__size") - 1)
+    asks = base.where(F.col("__us").isNotNull()).select(*keys, F.col("__us").alias("__at")).distinct().withColumn("__block", F.lit(0).cast("bigint"))
+    top = level(asks, DIGIT * (levels - 1)).withColumn("__size", F.col(cums[-1])).where("__size > 0")
+    ranks = F.array_distinct(F.array(*[f(place(p)).cast("bigint") for p in percentiles for f in (F.floor, F.ceil)]))
+    found = descend(top.withColumn("__want", F.explode(ranks)).withColumn("__rank", F.col("__want")))
+    for k in range(levels - 2, -1, -1):
+        found = descend(level(cut(found) if parts > 1 else found, DIGIT * k, "__size", "__want", "__rank"))
+    named = found.join(codes.withColumnsRenamed({value: "__value", "__code": "__block"}), "__block")
+    one = named.groupBy(*keys, "__at").agg(F.max("__size").alias("__size"), F.map_from_entries(F.collect_list(F.struct("__want", F.col("__value").cast("double")))).alias("__m"))
+    low = lambda p: F.element_at("__m", F.floor(place(p)).cast("bigint"))
+    high = lambda p: F.element_at("__m", F.ceil(place(p)).cast("bigint"))
+    one = one.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__at", *[(low(p) + (high(p) - low(p)) * (place(p) - F.floor(place(p)))).alias(f"percentile_{round(p * 100)}") for p in percentiles])
+    return base.join(one, (F.col("__us") == F.col("__at")) & alike(keys, "__k"), "left").drop("__us", "__at", *[f"__k{i}" for i in range(len(keys))])
 
 
 def rolling_stats(df: DataFrame, keys: Sequence[str], time: str, value: str, hours: int = 24,
@@ -168,12 +215,12 @@ def ewm(df: DataFrame, keys: Sequence[str], time: str, value: str, alpha: float
 def rolling_trend(df: DataFrame, keys: Sequence[str], time: str, value: str, hours: int = 24, ties: Sequence[str] = ()) -> DataFrame:
     """Correlation of the value with the row position over (t - hours, t]; null without variance.
 
-    Positions count from the start of the row's block; rows of the block before have negative ones."""
+    Positions count from the start of the row's span of `hours`; for the next span they are negative. The numbered rows are written
+    once, as the sums, the sizes and the key's mean all read them."""
     width = hours * 3600 * 1_000_000
-    o = with_group_stats(df, keys, __mid=F.avg(value)).withColumn("__blk", whole(F.unix_micros(time), width))
-    local = Window.partitionBy(*keys, "__blk").orderBy(time, *ties)
-    o = with_group_stats(o.withColumn("__i", F.row_number().over(local)), [*keys, "__blk"], __size=F.count(F.lit(1)))
-    y, x = F.col(value) - F.col("__mid"), F.col("__i").cast("double")
+    o = cut(with_ordinal(df, keys, time, ties).withColumn("__blk", whole(F.unix_micros(time), width)))
+    o = with_group_stats(with_group_stats(o, keys, __mid=F.avg(value)), [*keys, "__blk"], __base=F.min(ORDINAL), __size=F.count(F.lit(1)))
+    y, x = F.col(value) - F.col("__mid"), (F.col(ORDINAL) - F.col("__base")).cast("double")
     past = x - F.col("__size")
     s = sliding(o, keys, time, hours * 3600,
                 {"__n": F.lit(1).cast("bigint"), "__x": x, "__y": y, "__yy": y * y, "__xy": x * y}, leaving={"__x": past, "__xy": past * y})
@@ -296,9 +343,9 @@ def sequences(df: DataFrame, keys: Sequence[str], time: str, features: Sequence[
     return out.where(F.size("history") == length).withColumn("target", F.col(target))
 
 
-def newest(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], n: int = 1000, span: str = "hour") -> DataFrame:
+def newest(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], n: int = 1000) -> DataFrame:
     """Newest n rows per key."""
-    o = with_ordinal(df, keys, time, ties, span)
+    o = with_ordinal(df, keys, time, ties)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return o.join(sizes, list(keys)).where(F.col(ORDINAL) >= F.col("__n") - n).drop(ORDINAL, "__n")
 

@@ -14,7 +14,7 @@ from tidemark.plans.series import with_known
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, time: str, right_time: str, cols: Sequence[str],
-                 keys: Sequence[str] = (), span: str = "hour") -> DataFrame:
+                 keys: Sequence[str] = ()) -> DataFrame:
     """Left join to the right row nearest in time (a tie takes the earlier row). Right times must be
     unique per key; a right row whose values are null is still a candidate."""
     moments = left.select(*keys, F.col(time).alias("__t")).where(F.col("__t").isNotNull()).distinct()
@@ -23,7 +23,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, time: str, right_time: str,
     asks = moments.select(*keys, "__t", F.lit(None).cast(marks.schema["__v"].dataType).alias("__v"),
                           F.lit(1).alias("__side"))
     both = asks.unionByName(marks)
-    known = with_known(both, keys, "__t", {"m": (F.col("__side") == 0, [F.col("__v")])}, ["__side"], span)
+    known = with_known(both, keys, "__t", {"m": (F.col("__side") == 0, [F.col("__v")])}, ["__side"])
     gap_back = F.unix_micros("__t") - F.unix_micros(F.col("m_prev")["at"])
     gap_on = F.unix_micros(F.col("m_next")["at"]) - F.unix_micros("__t")
     take_prev = F.col("m_next").isNull() | (gap_back <= gap_on)

@@ -111,15 +111,15 @@ R24 = f"OVER (PARTITION BY metric_name ORDER BY {TS} RANGE BETWEEN INTERVAL '863
 PCT = (0.25, 0.5, 0.75, 0.95)
 
 
-@query("wn11_rolling_stats", ctes("metrics") + f"""SELECT event_id, round(avg(value) {R24} + 1e-9, 6) AS mean, round(stddev_samp(value) {R24}, 6) AS std,
+@query("wn11_rolling_stats", ctes("metrics") + f"""SELECT event_id, round(CAST(avg(value) {R24} AS DECIMAL(18, 9)), 6)::DOUBLE AS mean, round(stddev_samp(value) {R24}, 6) AS std,
     round(min(value) {R24}, 6) AS min, round(max(value) {R24}, 6) AS max, count(value) {R24} AS count, round(skewness(value) {R24}, 6) AS skew,
     round(kurtosis(value) {R24}, 6) AS kurtosis, round(quantile_cont(value, 0.5) {R24}, 6) AS median, """ + ", ".join(
     f"round(quantile_cont(value, {p}) {R24}, 6) AS percentile_{round(p * 100)}" for p in PCT) + " FROM metrics")
 def wn11(spark, root):
     m = fx.metrics(spark, root).select("event_id", "metric_name", "timestamp", "value")
     out = op.rolling_stats(m, ["metric_name"], "timestamp", "value").drop("metric_name", "timestamp", "value")
-    # means of two-digit values over 32 or 64 rows end in a five: move them off the rounding tie
-    return out.withColumn("mean", F.col("mean") + 1e-9)
+    # means of two-digit values over 32 or 64 rows end in a five: decimals round them alike
+    return out.withColumn("mean", F.round(F.col("mean").cast("decimal(18, 9)"), 6).cast("double"))
 
 
 EW = f"OVER (PARTITION BY metric_name ORDER BY {TS}, event_id ROWS BETWEEN 399 PRECEDING AND CURRENT ROW)"
