@@ -292,12 +292,6 @@ def test_unknown_metric_is_refused(spark):
     assert udf.evaluate(df, ["over"]).first()["over"] == 1.0 and "over" in udf.registered()
 
 
-def test_repeated_insert_adds_nothing(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id int, w string")
-    assert writers.insert_once(df, str(tmp_path / "t"), "id") == 2
-    assert writers.insert_once(df, str(tmp_path / "t"), "id") == 0
-
-
 def test_backup_is_verified(spark, tmp_path):
     df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1 + i % 2, i % 24)) for i in range(60)], "id int, timestamp timestamp")
     out = writers.backup(df, str(tmp_path / "b"))

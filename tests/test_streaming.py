@@ -54,6 +54,44 @@ def test_alert_throttle_matches_a_walk(spark, tmp_path):
     assert sorted(kept["current_value"]) == want and len(want) < n
 
 
+def log_of(n, seed=4):
+    rng = random.Random(seed)
+    return pd.DataFrame({"model_id": [rng.choice(["m1", "m2", None]) for _ in range(n)], "timestamp": [T0 + pd.Timedelta(seconds=37 * i) for i in range(n)],
+                         "is_error": [rng.random() < 0.3 for _ in range(n)], "duration_ms": [float(rng.randrange(100)) for _ in range(n)]})
+
+
+def rates_of(pdf):
+    g = pdf.fillna({"model_id": "-"}).groupby([pdf["timestamp"].dt.floor("5min"), "model_id"])
+    return {(t, m): (len(x), round(x["is_error"].mean(), 9), round(x["duration_ms"].mean(), 9)) for (t, m), x in g}
+
+
+def stored_rates(table):
+    return {(pd.Timestamp(r["window_start"]), r["model_id"] or "-"): (r["request_count"], round(r["error_rate"], 9), round(r["mean_latency_ms"], 9)) for r in table.read().collect()}
+
+
+def test_open_windows_are_reported(spark, tmp_path):
+    """The last window has not ended when the stream stops, and windows are cut by the files' ends."""
+    pdf = log_of(300)
+    stream = jobs.error_rates(stream_of(spark, pdf, str(tmp_path / "in"), 4))
+    table = jobs.drain_windows(stream, "rates", ["window_start", "model_id"], str(tmp_path / "out"))
+    assert stored_rates(table) == rates_of(pdf)
+    assert max(t for t, _ in stored_rates(table)) + pd.Timedelta(minutes=5) > pdf["timestamp"].max()
+
+
+def test_windows_go_on_after_a_stop_and_a_replayed_batch(spark, tmp_path):
+    pdf = log_of(240)
+    first, rest = pdf.iloc[:130], pdf.iloc[130:]
+    out = str(tmp_path / "out")
+    jobs.drain_windows(jobs.error_rates(stream_of(spark, first, str(tmp_path / "in"), 2)), "rates", ["window_start", "model_id"], out)
+    stream = jobs.error_rates(stream_of(spark, rest, str(tmp_path / "in"), 2))
+    table = jobs.drain_windows(stream, "rates", ["window_start", "model_id"], out)
+    assert stored_rates(table) == rates_of(pdf)
+    done = table.snapshot()["done"]["rates"]
+    wrong = table.read().withColumn("request_count", F.lit(0).cast("bigint"))
+    table.upsert(wrong, token=("rates", done))  # the last batch once more
+    assert stored_rates(table) == rates_of(pdf)
+
+
 def test_repeated_batch_counts_once(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,)], "id int")
     jobs.write_batch(df, str(tmp_path / "t"), 0)

@@ -1,4 +1,4 @@
-"""Table maintenance: updates, deletes, retention, copies. All return new frames or write staged tables."""
+"""Table maintenance as frames: updates, deletes, retention, copies. sources.tables applies them to stored tables."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ def newest(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """Rows of `changes` replace or extend the rows with the same key; of several changes of a key the newest counts."""
+    """Rows of `changes` replace or extend the rows with the same key; of several changes of a key the one with the
+    largest `order` counts, without it the largest row."""
     changes = newest(changes, key, order)
     return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
@@ -45,13 +46,6 @@ def retention_report(table: DataFrame, time: str, as_of: str, days: int) -> Data
     return table.agg(F.count_if(F.col(time) >= cut).alias("kept"), F.count_if(F.col(time) < cut).alias("deleted"))
 
 
-def replace_table(df: DataFrame, path: str, staging: str) -> DataFrame:
-    """Write a new version beside the old one and swap it in; reads of `path` see a whole version."""
-    df.write.mode("overwrite").parquet(staging)
-    df.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def copy_with_view(df: DataFrame, path: str, view: str, rename: dict[str, str] | None = None) -> DataFrame:
     """Write a copy and publish it under a view with the old column names."""
     df.write.mode("overwrite").parquet(path)

@@ -16,6 +16,8 @@ from tidemark.registry.core import query
 from tidemark.registry.drift import NUMERIC
 from tidemark.registry.features import TS
 from tidemark.registry.windows import PV
+from tidemark.sources.tables import Table
+from tidemark.sources.writers import scratch
 
 RMSE = "sqrt(sum({w} * pow(actual - predicted, 2)) / sum({w}))"
 MAE = "sum({w} * abs(actual - predicted)) / sum({w})"
@@ -267,21 +269,26 @@ def me23(spark, root):
 @query("tm1_update_by_id", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 3 THEN 'done' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 20 = 3 THEN 0.0 ELSE o_totalprice END AS price FROM orders""")
 def tm1(spark, root):
     t = fx.read_table(spark, root, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    ch = t.where(F.col("id") % 10 == 3).select("id", F.lit("done").alias("status"), F.when(F.col("id") % 20 == 3, 0.0).alias("price"))
-    return tm.update_by_id(t, ch, "id")
+    stored = Table.create(t, scratch(spark, "orders"), "id", 4)
+    stored.update(t.where(F.col("id") % 10 == 3).select("id", F.lit("done").alias("status"), F.when(F.col("id") % 20 == 3, 0.0).alias("price")))
+    return stored.read()
 
 
 @query("tm1_upsert", """SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT o_orderkey, -1.0 FROM orders WHERE o_orderkey % 10 = 3 UNION ALL SELECT o_orderkey + 10000000, -1.0 FROM orders WHERE o_orderkey % 10 = 3""")
 def tm1b(spark, root):
     t = fx.read_table(spark, root, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    stored = Table.create(t, scratch(spark, "orders"), "id", 4)
     ch = t.where(F.col("id") % 10 == 3).select("id", F.lit(-1.0).alias("price"))
-    return tm.upsert(t, ch.unionByName(ch.withColumn("id", F.col("id") + 10_000_000)), "id")
+    stored.upsert(ch.unionByName(ch.withColumn("id", F.col("id") + 10_000_000)))
+    return stored.read()
 
 
 @query("tm2_delete_by_id", "SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def tm2(spark, root):
-    gone = fx.read_table(spark, root, "customer").where(F.col("c_acctbal") < 0)
-    return tm.delete_by_id(fx.read_table(spark, root, "orders"), gone.select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select(F.col("o_orderkey").alias("id"))
+    t = fx.read_table(spark, root, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
+    stored = Table.create(t, scratch(spark, "orders"), "customer", 4)
+    stored.delete(fx.read_table(spark, root, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("customer")))
+    return stored.read().select("id")
 
 
 @query("tm3_retention", ctes("metrics") + f"SELECT count(*) FILTER ({TS} >= TIMESTAMP '2024-01-21 00:00:00') AS kept, count(*) FILTER ({TS} < TIMESTAMP '2024-01-21 00:00:00') AS deleted FROM metrics")
@@ -291,13 +298,13 @@ def tm3(spark, root):
 
 @query("tm3_retained_rows", ctes("metrics") + f"SELECT event_id FROM metrics WHERE {TS} >= TIMESTAMP '2024-01-21 00:00:00'")
 def tm3b(spark, root):
-    return tm.retain(fx.metrics(spark, root), "timestamp", "2024-01-31 00:00:00", 10).select("event_id")
+    stored = Table.create(fx.metrics(spark, root).select("event_id", "timestamp"), scratch(spark, "metrics"), "event_id", 1, "timestamp")
+    stored.retain("2024-01-31 00:00:00", 10)
+    return stored.read().select("event_id")
 
 
 @query("tm4_copy_with_view", ctes("health") + "SELECT event_id, component AS service, status FROM health")
 def tm4(spark, root):
-    from tidemark.sources.writers import scratch
-
     tm.copy_with_view(fx.health(spark, root).select("event_id", "component", "status"), scratch(spark, "copy"), "service_health", {"component": "service"})
     return spark.sql("SELECT event_id, service, status FROM service_health")
 

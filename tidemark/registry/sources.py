@@ -11,6 +11,7 @@ from tidemark.registry.core import query
 from tidemark.registry.features import TS
 from tidemark.registry.quality import RAW, joined
 from tidemark.sources import readers, writers
+from tidemark.sources.tables import Table
 from tidemark.sources.writers import scratch
 
 
@@ -135,12 +136,11 @@ def snk4(spark, root):
 
 @query("snk5_insert_once", ctes("obs") + "SELECT event_id, location_id FROM obs")
 def snk5(spark, root):
-    path = scratch(spark, "insert")
     o = fx.obs(spark, root).select("event_id", "location_id")
-    writers.insert_once(o.where(F.col("event_id") % 3 == 0), path, "event_id")
-    writers.insert_once(o, path, "event_id")
-    writers.insert_once(o, path, "event_id")
-    return spark.read.parquet(path)
+    table = Table.create(o.where(F.col("event_id") % 3 == 0), scratch(spark, "insert"), "event_id", 4)
+    table.insert_once(o)
+    table.insert_once(o.where(F.col("event_id") % 2 == 0))  # a repeated load
+    return table.read()
 
 
 @query("snk6_verified_backup", ctes("metrics") + f"SELECT CAST({TS} AS DATE) AS \"date\", hour({TS}) AS hour, count(*) AS rows, TRUE AS verified FROM metrics GROUP BY 1, 2")

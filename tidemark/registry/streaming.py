@@ -58,27 +58,30 @@ def st2(spark, root):
 SLIDE = f"""b AS (SELECT operation, is_error, unnest([0, 1, 2, 3]) AS s, {TS} FROM op_log), w AS (SELECT operation, is_error, time_bucket(INTERVAL 6 HOURS, {TS}, TIMESTAMP '1970-01-01 00:00:00') - to_hours(CAST(6 * s AS INT)) AS window_start FROM b)"""
 
 
-@query("st3_operation_monitor", ctes("op_log", extra=SLIDE) + f"""SELECT window_start, window_start + INTERVAL 24 HOURS AS window_end, operation, count(*) AS query_count, count(*) FILTER (is_error) AS error_count FROM w
-    WHERE window_start + INTERVAL 24 HOURS <= (SELECT max({TS}) - INTERVAL 1 HOUR FROM op_log) GROUP BY 1, 2, 3""")
+def monitored(spark, root):
+    """Every window of the operation log, the open ones included."""
+    return jobs.drain_windows(jobs.operation_monitor(as_files(fx.op_log(spark, root), "ops")), "monitor", ["window_start", "operation"]).read()
+
+
+@query("st3_operation_monitor", ctes("op_log", extra=SLIDE) + f"""SELECT window_start, window_start + INTERVAL 24 HOURS AS window_end, operation, count(*) AS query_count, count(*) FILTER (is_error) AS error_count FROM w GROUP BY 1, 2, 3""")
 def st3(spark, root):
-    return jobs.drain(jobs.operation_monitor(as_files(fx.op_log(spark, root), "ops")), "monitor").drop("p95_ms")
+    return monitored(spark, root).drop("p95_ms")
 
 
-@query("st3_operation_latency")
+@query("st3_operation_latency", ctes("op_log", extra=SLIDE.replace("operation, is_error", "operation, duration_ms")) + """SELECT window_start, operation, quantile_disc(duration_ms, 0.95) AS p95_ms FROM w GROUP BY 1, 2""")
 def st3b(spark, root):
-    return jobs.drain(jobs.operation_monitor(as_files(fx.op_log(spark, root), "ops")), "monitor").select("window_start", "operation", "p95_ms")
+    return monitored(spark, root).select("window_start", "operation", "p95_ms")
 
 
 @query("st4_error_rates", ctes("op_log", extra=f"w AS (SELECT *, time_bucket(INTERVAL 5 MINUTES, {TS}, TIMESTAMP '1970-01-01 00:00:00') AS window_start FROM op_log)") + f"""SELECT window_start, model_id, count(*) AS request_count,
-    round(avg(is_error::INT), 6) AS error_rate, round(avg(duration_ms), 6) AS mean_latency_ms FROM w WHERE window_start + INTERVAL 5 MINUTES <= (SELECT max({TS}) - INTERVAL 1 HOUR FROM op_log) GROUP BY 1, 2""")
+    round(avg(is_error::INT), 6) AS error_rate, round(avg(duration_ms), 6) AS mean_latency_ms FROM w GROUP BY 1, 2""")
 def st4(spark, root):
-    return jobs.drain(jobs.error_rates(as_files(fx.op_log(spark, root), "ops")), "rates")
+    return jobs.drain_windows(jobs.error_rates(as_files(fx.op_log(spark, root), "ops")), "rates", ["window_start", "model_id"]).read()
 
 
-@query("st5_health_rollup", ctes("health") + f"""SELECT date_trunc('hour', {TS}) AS window_start, count(*) AS samples, CASE WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'degraded') THEN 'degraded' ELSE 'healthy' END AS overall_status
-    FROM health GROUP BY 1 HAVING date_trunc('hour', any_value({TS})) + INTERVAL 1 HOUR <= (SELECT max({TS}) - INTERVAL 1 HOUR FROM health)""")
+@query("st5_health_rollup", ctes("health") + f"""SELECT date_trunc('hour', {TS}) AS window_start, count(*) AS samples, CASE WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'degraded') THEN 'degraded' ELSE 'healthy' END AS overall_status FROM health GROUP BY 1""")
 def st5(spark, root):
-    return jobs.drain(jobs.health_rollup(as_files(fx.health(spark, root), "health")), "rollup")
+    return jobs.drain_windows(jobs.health_rollup(as_files(fx.health(spark, root), "health")), "rollup", ["window_start"]).read()
 
 
 @query("st6_score_arrivals", ctes("obs_weather") + f"SELECT event_id, round({SCORE_SQL}, 6) + 0.0 AS score FROM obs_weather")

@@ -50,29 +50,6 @@ def insert_jdbc(df: DataFrame, url: str, table: str, batch: int = 1000, writers:
     df.coalesce(writers).write.format("jdbc").mode("append").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).save()
 
 
-def insert_once(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not in the table yet, so that a repeated load adds nothing; returns the number added."""
-    spark = df.sparkSession
-    fresh = df.dropDuplicates([key])
-    try:
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as ex:  # the first load finds no table
-        if "PATH_NOT_FOUND" not in str(ex):
-            raise
-    before = _rows(spark, path)
-    fresh.write.mode("append").parquet(path)
-    return _rows(spark, path) - before
-
-
-def _rows(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except Exception as ex:
-        if "PATH_NOT_FOUND" not in str(ex):
-            raise
-        return 0
-
-
 def checksums(df: DataFrame, *keys: str) -> DataFrame:
     """Row count and order-free checksum per partition value."""
     cols = sorted(c for c in df.columns if c not in keys)

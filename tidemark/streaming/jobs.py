@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.functions import rules
 from tidemark.operators import features as feats
 from tidemark.operators import quality, repair
+from tidemark.sources.tables import Table
 from tidemark.sources.writers import scratch
 
 
@@ -41,6 +42,27 @@ def drain_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_windows(stream: DataFrame, name: str, keys: list[str], path: str | None = None, buckets: int = 4) -> Table:
+    """Run a windowed aggregation over everything available into a stored table that always has every window's newest values.
+
+    The stream runs in update mode: each micro-batch gives the windows it changed, open ones too, and they replace their rows in the
+    table. The batch's number is part of the table's version, so a batch that is repeated after a failure is applied once."""
+    spark = stream.sparkSession
+    out = path or scratch(spark, name)
+    table = Table(spark, out)
+    if not table.exists():
+        Table.create(spark.createDataFrame([], stream.schema), out, keys, buckets)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(batch.persist(), token=(name, batch_id))
+        batch.unpersist()
+        table.vacuum(10)
+
+    q = stream.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return table
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """One folder per micro-batch, overwritten when the batch is repeated: each batch counts once."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
