@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import random
 from collections.abc import Sequence
 
 import numpy as np
@@ -70,15 +68,16 @@ def hash_split(df: DataFrame, ids: Sequence[str], tenths: int = 8) -> DataFrame:
     return df.withColumn("is_train", F.pmod(F.xxhash64(*ids), F.lit(10)) < tenths)
 
 
-def time_folds(df: DataFrame, time: str, ties: Sequence[str], k: int = 5) -> DataFrame:
-    """Expanding folds: `fold` numbers the last k blocks of n // (k + 1) rows (null before them); fold f
-    trains on all rows before its block."""
-    o = with_ordinal(df, [], time, ties, name="__pos")
-    s = with_stats(o, source=df, n=F.count(F.lit(1)))
-    size = F.floor(F.col("__stats.n") / (k + 1))
-    first = F.col("__stats.n") - k * size
+def time_folds(df: DataFrame, time: str, ties: Sequence[str], k: int = 5, key: str | None = None) -> DataFrame:
+    """Expanding folds, of each key's rows if one is named: `fold` numbers the last k blocks of n // (k + 1) rows (null before them);
+    fold f trains on all rows before its block."""
+    keys = [key] if key else []
+    o = with_ordinal(df, keys, time, ties, name="__pos")
+    s = with_group_stats(o, keys, __n=F.count(F.lit(1))) if key else with_stats(o, source=df, n=F.count(F.lit(1))).withColumn("__n", F.col("__stats.n"))
+    size = F.floor(F.col("__n") / (k + 1))
+    first = F.col("__n") - k * size
     fold = F.when(F.col("__pos") >= first, F.floor((F.col("__pos") - first) / size))
-    return s.withColumn("fold", fold).drop("__pos", "__stats")
+    return s.withColumn("fold", fold).drop("__pos", "__stats", "__n")
 
 
 def cross_validate(folded: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str], label: str, k: int, **params) -> DataFrame:
@@ -134,25 +133,6 @@ def score_linear(df: DataFrame, models: DataFrame, key: str, numeric: Sequence[s
     return j.withColumn("predicted", p).drop("intercept", "coefficients")
 
 
-def fit_by_location(df: DataFrame, key: str, values: Sequence[str], kind: str, numeric, categorical, label: str, min_rows: int = 50, **params) -> dict[str, PipelineModel]:
-    """A pipeline per named location with enough rows (for a few locations; see linear_by_key for many)."""
-    sizes = {r[0]: r[1] for r in df.where(F.col(key).isin(list(values))).groupBy(key).count().collect()}
-    return {v: fit(df.where(F.col(key) == v), kind, numeric, categorical, label, **params) for v in values if sizes.get(v, 0) >= min_rows}
-
-
-def random_search(train: DataFrame, valid: DataFrame, kind: str, space: dict[str, Sequence], n: int, numeric, categorical, label: str, seed: int = 42) -> DataFrame:
-    """Random parameter sets scored on the validation rows, lowest RMSE first."""
-    grid = list(itertools.product(*space.values()))
-    picks = random.Random(seed).sample(grid, min(n, len(grid)))
-    out = None
-    for i, values in enumerate(picks):
-        params = dict(zip(space, values))
-        m = regression_metrics(predict(fit(train, kind, numeric, categorical, label, **params), valid), actual=label, names=["rmse", "r2"])
-        one = m.select(F.lit(i).cast("bigint").alias("candidate"), F.lit(", ".join(f"{k}={v}" for k, v in params.items())).alias("params"), "rmse", "r2")
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy("rmse")
-
-
 def impurity_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     """(feature, importance) of a tree model; names from the assembled vector's metadata."""
     meta = model.transform(df.limit(1)).schema[FEATURES].metadata["ml_attr"]["attrs"]

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.fixtures import ctes
 from tidemark.functions import calendar
-from tidemark.operators import joins
+from tidemark.operators import boosting, joins
 from tidemark.operators import learning as op
-from tidemark.operators.evaluation import regression_metrics
-from tidemark.operators.features import categories
+from tidemark.operators.evaluation import fold_summary, regression_metrics
 from tidemark.registry import joins as jn
 from tidemark.registry.core import query
 from tidemark.registry.features import (
@@ -107,27 +106,43 @@ def ml6b(spark, root):
     return regression_metrics(op.score_linear(f, op.linear_by_key(f, "location_id", cols, LABEL), "location_id", cols), ["location_id"], LABEL, names=["rmse", "r2"])
 
 
+def held_out(df):
+    """The split of the other model queries as one fold."""
+    return op.hash_split(df, ["event_id"]).withColumn("fold", F.when(~F.col("is_train"), 0)).drop("is_train")
+
+
 @query("ml6_pipelines_by_group")
 def ml6c(spark, root):
-    f = frame(spark, root)
-    models = op.fit_by_location(f, "parking_type", categories(f, "parking_type"), "gbt", NUMERIC, [], LABEL, maxIter=5)
-    out = None
-    for kind, m in models.items():
-        one = evaluated(op.predict(m, f.where(F.col("parking_type") == kind))).withColumn("parking_type", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """100 stages for every parking type."""
+    p = boosting.boosted(held_out(frame(spark, root)), "parking_type", NUMERIC, [], LABEL, ["event_id"], 1)
+    return boosting.fold_report(p, "parking_type").select("parking_type", "rows", "rmse", "mae", "r2")
+
+
+@query("ml6_boosted_by_location")
+def ml6d(spark, root):
+    """100 stages for every location with 50 rows or more, all side by side."""
+    p = boosting.boosted(held_out(frame(spark, root)), "location_id", NUMERIC, ["parking_type"], LABEL, ["event_id"], 1)
+    return boosting.fold_report(p, "location_id").select("location_id", "rows", "rmse", "mae", "r2")
+
+
+@query("ml7_cross_validation_by_location")
+def ml7b(spark, root):
+    """Five expanding folds and 100 stages for every location."""
+    folded = op.time_folds(frame(spark, root), "timestamp", ["event_id"], 5, "location_id")
+    return boosting.fold_report(boosting.boosted(folded, "location_id", NUMERIC, ["parking_type"], LABEL, ["event_id"], 5), "location_id")
 
 
 @query("ml7_cross_validation")
 def ml7(spark, root):
     folded = op.time_folds(frame(spark, root), "timestamp", ["event_id"], 5)
-    return op.cross_validation_report(folded, "gbt", NUMERIC, CATEGORICAL, LABEL, 5)
+    return fold_summary(boosting.boosted(folded, None, NUMERIC, CATEGORICAL, LABEL, ["event_id"], 5), actual="actual")
 
 
 @query("ml8_random_search")
 def ml8(spark, root):
-    train, test = split(spark, root)
-    return op.random_search(train, test, "gbt", {"maxIter": [5, 10], "maxDepth": [2, 3, 4], "stepSize": [0.1, 0.2]}, 3, NUMERIC, CATEGORICAL, LABEL)
+    """50 candidates of 50 to 499 trees over five expanding folds."""
+    folded = op.time_folds(frame(spark, root), "timestamp", ["event_id"], 5)
+    return boosting.searched(folded, None, NUMERIC, CATEGORICAL, LABEL, ["event_id"], 5, boosting.random_candidates(50))
 
 
 @query("ml9_impurity_importance")
