@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.frames import cut
+
 #: The three base patterns with the least length of what counts (of group 2 for assignments, else of the match).
 BASE = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -14,14 +16,15 @@ BASE = {
 }
 #: Parts that mean little alone.
 WEAK = {
-    "identifier": r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
+    # the access key of `secret_access_key` names a secret
+    "identifier": r"""(?i:user(?:name)?|login|account|client_?id|(?<!secret_)(?<!secret)access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
     # any value of 4 or more characters up to white space, a quote, a bracket or a separator
     "secret": r"""(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[^\s"'<>,;(){}\[\]`|\\]{4,}|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""",
     "endpoint": r"""https?://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])""",
 }
 KINDS = [*BASE, *WEAK]
-#: Which parts complete each other: an identifier and a secret; an endpoint needs both.
-IDENTIFIERS, SECRETS = ("access", "identifier"), ("assign", "hex", "secret")
+#: Which parts complete each other: an identifier and a secret; an endpoint needs both. A bare run of hex digits, which any digest is, completes nothing.
+IDENTIFIERS, SECRETS = ("access", "identifier"), ("assign", "secret")
 #: Parts of one credential are at most so many code points apart.
 SCOPE = 300
 
@@ -59,10 +62,11 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     ends = parts.where("kind = 'endpoint'")
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Rows of left with a row of right at most `scope` away."""
+        """Rows of left with a row of right at most `scope` away that shares no character with it: no part completes itself."""
         wide = left.select("*", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("bin"))
         narrow = right.select("row", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("bin"))
-        return wide.join(narrow, ["row", "bin"]).where(F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e")) <= scope).select("row", "kind", "start", "end").distinct()
+        gap = F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e"))
+        return wide.join(narrow, ["row", "bin"]).where(gap.between(0, scope)).select("row", "kind", "start", "end").distinct()
 
     return near(ids.where("kind = 'identifier'"), keys).unionByName(near(keys.where("kind = 'secret'"), ids)).unionByName(near(near(ends, ids), keys))
 
@@ -71,7 +75,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     Base spans always count. Weak parts (identifier, secret, endpoint) are added only where complementary parts lie within `scope`
-    code points in the same text: identifiers with a secret, secrets with an identifier, endpoints with both. Null texts are empty:
+    code points in the same text, apart from each other: identifiers with a secret, secrets with an identifier, endpoints with both. Null texts are empty:
     no spans. Repeated rows each get a row; rows that agree in id and text share their links. An empty table gives no rows."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
@@ -80,6 +84,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         *[_spans(F.col("text"), k, p, g, n).alias(k) for k, (p, g, n) in BASE.items()],
         *[_spans(F.col("text"), k, p).alias(k) for k, p in WEAK.items()],
     )
+    # the patterns run once; from here on only places are read
+    marked = cut(marked)
     # a weak secret that is a base span as it stands adds nothing
     marked = marked.withColumn("secret", F.filter("secret", lambda w: ~F.exists(F.concat("assign", "hex"), lambda b: (b["start"] == w["start"]) & (b["end"] == w["end"]))))
     union = lambda kinds: F.concat(*[F.col(k) for k in kinds])
