@@ -1,5 +1,5 @@
 """Imports every registry module."""
 
 from tidemark.registry import (  # noqa: F401
-    aggs, drift, evaluation, features, joins, learning, quality, shaping, sources, streaming, tops, windows,
+    aggs, drift, evaluation, features, joins, learning, preparation, quality, shaping, sources, streaming, tops, windows,
 )
