@@ -39,7 +39,7 @@ STEPS = f"""r AS (SELECT location_id, date_trunc('hour', {TS}) AS "timestamp", a
     o4 AS (SELECT location_id, {TS}, capacity, parking_type, {at('occupancy')} FROM z),
     m AS (SELECT o4.*, {', '.join(COLS)} FROM o4 LEFT JOIN wh ON wh.weather_time = date_trunc('hour', o4.{TS})),
     o5 AS (SELECT location_id, {TS}, capacity, parking_type, occupancy, {', '.join(at(c) for c in COLS)} FROM m),
-    o6 AS (SELECT * REPLACE (least(greatest(CASE WHEN (SELECT max(occupancy) FROM o5) > 100 THEN occupancy / nullif(capacity, 0) * 100 ELSE occupancy END, 0.0), 100.0) AS occupancy) FROM o5),
+    o6 AS (SELECT * REPLACE (CASE WHEN occupancy IS NOT NULL THEN least(greatest(CASE WHEN (SELECT max(occupancy) FROM o5) > 100 THEN occupancy / nullif(capacity, 0) * 100 ELSE occupancy END, 0.0), 100.0) END AS occupancy) FROM o5),
     o7 AS (SELECT location_id, {TS}, capacity, {carried('parking_type')} AS parking_type, {', '.join(at(c) for c in ('occupancy', *COLS))} FROM o6)"""
 
 
