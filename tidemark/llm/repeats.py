@@ -18,29 +18,49 @@ SHARD = 750_000
 
 
 def enhanced(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by prefix doubling and the common prefix lengths of neighbours (index 0: none), read off the ranks of each round."""
+    """Suffix array by prefix doubling and the common prefix lengths of neighbours (index 0: none), read off the ranks of each round.
+
+    The first round sorts by as many symbols as fit into 63 bits, a power of two; later rounds sort only suffixes that are still
+    tied, whose places in the order stay together. A rank is the first place of a suffix's group."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    ranks, k = [rank.astype(np.int32)], 1
-    while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - k)] = rank[k:] + 1
-        both = rank * (n + 1) + ahead
-        order = np.argsort(both)
-        new = np.concatenate([[0], np.cumsum(both[order][1:] != both[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+    bits = int(symbols.max()).bit_length() + 1
+    k = 1
+    while 2 * k * bits <= 63:
+        k *= 2
+    padded = np.concatenate([symbols + 1, np.zeros(k, np.int64)])
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key = key << bits | padded[j : j + n]
+    order = np.argsort(key)
+    place = np.arange(n)
+    head = np.ones(n, bool)
+    head[1:] = key[order][1:] != key[order][:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, place, 0))
+    ranks = [(1, symbols.astype(np.int32)), *([(k, rank.astype(np.int32))] if k > 1 else [])]
+    at = np.flatnonzero(~head | np.append(~head[1:], False))
+    while len(at) and k < depth:
+        suffix = order[at]
+        ahead = suffix + k
+        both = rank[suffix] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        new = np.argsort(both)
+        suffix, both = suffix[new], both[new]
+        order[at] = suffix
+        begin = np.ones(len(at), bool)
+        begin[1:] = both[1:] != both[:-1]
+        rank[suffix] = np.maximum.accumulate(np.where(begin, at, 0))
         k *= 2
-        ranks.append(rank.astype(np.int32))
-        if k >= depth or new[-1] == n - 1:
-            break
+        ranks.append((k, rank.astype(np.int32)))
+        # a group of one is settled
+        at = at[~begin | np.append(~begin[1:], False)]
     i, j, common = order[:-1].copy(), order[1:].copy(), np.zeros(n - 1, np.int64)
-    for power in range(len(ranks) - 1, -1, -1):
-        step = 1 << power
-        same = (np.maximum(i, j) + step <= n) & (ranks[power][np.minimum(i, n - 1)] == ranks[power][np.minimum(j, n - 1)])
-        common[same] += step
-        i[same] += step
-        j[same] += step
+    smallest = ranks[1][0] if len(ranks) > 1 else 1
+    for step, held in [*reversed(ranks[1:]), *[ranks[0]] * max(1, smallest - 1)]:
+        some = np.flatnonzero(np.maximum(i, j) + step <= n)
+        some = some[held[i[some]] == held[j[some]]]
+        common[some] += step
+        i[some] += step
+        j[some] += step
     return order, np.concatenate([[0], common])
 
 

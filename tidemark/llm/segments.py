@@ -21,6 +21,8 @@ from tidemark.llm.frames import cut
 CROWDED = 8_000
 #: At most so many crowded grams are named (their hashes are sent to the tasks).
 NAMED = 100_000
+#: One text in so many tells which grams are crowded. They only decide which gram of a window is its key, never what is found.
+TOLD = 8
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,11 @@ def segments(values: np.ndarray, first: np.ndarray, how: Windows, crowded: np.nd
     grams = roll.spans(place, place + how.gram)
     order = grams >> np.uint64(1)
     if len(crowded):
-        order[np.isin(grams, crowded)] |= np.uint64(1 << 63)
+        # few hashes share their last 16 bits with a crowded one; only those are looked up
+        low = np.zeros(1 << 16, bool)
+        low[crowded & np.uint64(0xFFFF)] = True
+        may = np.flatnonzero(low[grams & np.uint64(0xFFFF)])
+        order[may[np.isin(grams[may], crowded)]] |= np.uint64(1 << 63)
     least = sliding_least(order, how.width - how.gram + 1)
     count = np.maximum(size - how.width + 1, 0)
     owner = np.repeat(np.arange(len(size)), count)
@@ -85,16 +91,12 @@ def _segment_rows(base: DataFrame, how: Windows, crowded: list[int]) -> DataFram
 
 def shared_segments(base: DataFrame, how: Windows) -> DataFrame:
     """All segments whose key occurs more than once."""
-    crowded: list[int] = []
-    for _ in range(2):
-        rows = _segment_rows(base, how, crowded)
-        counts = cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-        if crowded:
-            break
-        total = counts.agg(F.sum("c")).first()[0] or 0
-        crowded = [r["key"] for r in counts.where(F.col("c") > max(CROWDED, total // NAMED)).select("key").collect()]
-        if not crowded:
-            break
+    some = _segment_rows(base.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(TOLD)) == 0), how, [])
+    told = cut(some.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED // (2 * TOLD)))
+    total = told.agg(F.sum("c")).first()[0] or 0
+    crowded = [r["key"] for r in told.where(F.col("c") > max(CROWDED // TOLD, total // NAMED)).select("key").collect()]
+    rows = _segment_rows(base, how, crowded)
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     return cut(rows.join(counts.select("key"), "key"))
 
 
