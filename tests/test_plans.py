@@ -221,6 +221,28 @@ def test_nearest_matches_brute_force_everywhere(spark, k):
         np.testing.assert_allclose([h[2] for h in have], [w[0] for w in want], rtol=1e-9, atol=1e-6)
 
 
+@pytest.mark.parametrize("within", [50.0, 700.0, 3e5, 2.5e7])
+def test_nearest_within_matches_brute_force(spark, within):
+    rng = random.Random(12)
+    sites = [(41.39 + rng.random() / 100, 2.17 + rng.random() / 100) for _ in range(60)] + [(rng.uniform(-89, 89), rng.uniform(-180, 180)) for _ in range(30)] + [(10.0, 179.99), (89.9, 30.0)]
+    pts = [(41.392 + rng.random() / 100, 2.172 + rng.random() / 100) for _ in range(20)] + [(10.0, -179.999), (89.95, -150.0), (0.0, 0.0)] + [(rng.uniform(-85, 85), rng.uniform(-180, 180)) for _ in range(10)]
+    s = spark.createDataFrame([(i, *p) for i, p in enumerate(sites)], "facility_id long, latitude double, longitude double")
+    got = {(r["latitude"], r["longitude"]): r["facility_id"] for r in spatial.nearest(spark.createDataFrame(pts, "latitude double, longitude double"), s, 1, within_m=within).collect()}
+    want = {p: min((haversine(*p, *q), i) for i, q in enumerate(sites)) for p in pts}
+    assert got == {p: i for p, (d, i) in want.items() if d < within}
+
+
+def test_sites_of_one_place_and_far_points_form_few_pairs(spark):
+    """10 000 far points, 10 000 sites on one spot."""
+    rng = random.Random(13)
+    sites = spark.createDataFrame([(i, 41.39, 2.17) for i in range(10_000)], "facility_id long, latitude double, longitude double")
+    pts = spark.createDataFrame([(rng.uniform(-60, -20), rng.uniform(-170, -20)) for _ in range(10_000)], "latitude double, longitude double")
+    assert spatial.first_of_place(sites.select(F.col("facility_id").alias("__id"), F.col("latitude").alias("__tlat"), F.col("longitude").alias("__tlon")), 3).count() == 3
+    out = spatial.nearest(pts, sites, 3)
+    assert out.count() == 30_000 and {r["facility_id"] for r in out.select("facility_id").distinct().collect()} == {0, 1, 2}
+    assert spatial.nearest(pts, sites, 1, within_m=1000.0).count() == 0
+
+
 def test_nearest_with_fewer_targets_than_asked(spark):
     s = spark.createDataFrame([(1, 10.0, 10.0), (2, -10.0, 100.0)], "facility_id long, latitude double, longitude double")
     p = spark.createDataFrame([(50.0, 50.0)], "latitude double, longitude double")

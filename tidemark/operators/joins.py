@@ -72,7 +72,7 @@ def match_quality(distance: Column, scale=QUALITY) -> Column:
 def match_facilities(points: DataFrame, facilities: DataFrame, threshold_m: float, lat: str = "latitude", lon: str = "longitude",
                      facility: str = "facility_id") -> DataFrame:
     """Points with their nearest facility closer than the threshold, distance and quality label."""
-    near = nearest(points, facilities, 1, lat, lon, facility).where(F.col("distance_m") < threshold_m).drop("rank")
+    near = nearest(points, facilities, 1, lat, lon, facility, within_m=threshold_m).drop("rank")
     return points.join(near, [lat, lon]).withColumn("match_quality", match_quality(F.col("distance_m")))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.geo import EARTH_M, haversine
 
 ZOOMS = tuple(range(22, 1, -2))
+#: Parts that the sites of one coordinate are dealt into.
+PLACE_PARTS = 64
 METRES_PER_DEGREE = 111_194.92664455873  # 6 371 000 m * pi / 180
 
 
@@ -29,14 +31,28 @@ def _zooms() -> Column:
     return F.explode(F.array(*[F.lit(z) for z in ZOOMS]))
 
 
+def first_of_place(sites: DataFrame, k: int) -> DataFrame:
+    """The k smallest ids of every coordinate: no more of them can be among the k nearest of any point. Ids are dealt into parts
+    first, so that a coordinate with very many sites is cut down in many tasks."""
+    place = ["__tlat", "__tlon"]
+    if k == 1:
+        return sites.groupBy(*place).agg(F.min("__id").alias("__id"))
+    for parts in ([F.pmod(F.xxhash64("__id"), F.lit(PLACE_PARTS))], []):
+        nth = F.row_number().over(Window.partitionBy(*place, *parts).orderBy("__id"))
+        sites = sites.withColumn("__nth", nth).where(F.col("__nth") <= k).drop("__nth")
+    return sites
+
+
 def nearest(points: DataFrame, targets: DataFrame, k: int = 1, lat: str = "latitude", lon: str = "longitude",
-            target_id: str = "facility_id", target_lat: str = "latitude", target_lon: str = "longitude") -> DataFrame:
+            target_id: str = "facility_id", target_lat: str = "latitude", target_lon: str = "longitude", within_m: float | None = None) -> DataFrame:
     """Distinct coordinates of `points` with their k nearest targets: columns (lat, lon, target_id,
-    distance_m, rank), rank from 1, ties broken by target id."""
+    distance_m, rank), rank from 1, ties broken by target id. With `within_m`, targets at that distance or farther are not looked
+    for, so that a point far from everything meets nothing."""
     coords = points.select(lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).distinct()
     sites = targets.select(
         F.col(target_id).alias("__id"), F.col(target_lat).alias("__tlat"), F.col(target_lon).alias("__tlon")
     ).where(F.col("__tlat").isNotNull() & F.col("__tlon").isNotNull())
+    sites = first_of_place(sites, k)
 
     # targets per 3 x 3 block and zoom
     z = F.col("__z")
@@ -66,10 +82,18 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1, lat: str = "latit
     )
     placed = coords.join(level, [lat, lon], "left").withColumn("__level", F.coalesce("__level", F.lit(min(ZOOMS))))
 
+    limit = None if within_m is None else 1.001 * within_m / METRES_PER_DEGREE
+    if limit is not None:
+        # cells no larger than the distance asks for: with a side of the limit or more, three of them cover it
+        fits = [z for z in ZOOMS if 360.0 / 2 ** (z - 1) >= limit]
+        placed = placed.withColumn("__level", F.greatest("__level", F.lit(max(fits, default=min(ZOOMS)))))
+
     # every cell within the bound, one zoom coarser
     side = 360.0 / F.pow(F.lit(2.0), F.col("__level"))
     # diagonal of two cells with a margin; for huge cells the sum of both legs
     reach = F.when(side > 0.5, 4.0 * side).otherwise(2.9 * side)
+    if limit is not None:
+        reach = F.lit(limit)
     coarse = F.col("__level") - 1
     polar = F.abs(F.col(lat)) + F.col("__reach") >= 89.9
     lon_reach = F.when(polar, F.lit(180.0)).otherwise(
@@ -92,6 +116,8 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1, lat: str = "latit
     )
     dist = haversine(F.col(lat), F.col(lon), F.col("__tlat"), F.col("__tlon"), EARTH_M)
     pairs = searched.join(coarse_sites, ["__z", "__x", "__y"]).select(lat, lon, "__id", dist.alias("distance_m"))
+    if within_m is not None:
+        pairs = pairs.where(F.col("distance_m") < within_m)
     if k == 1:
         best = pairs.groupBy(lat, lon).agg(F.min(F.struct("distance_m", "__id")).alias("m"))
         return best.select(lat, lon, F.col("m.__id").alias(target_id), F.col("m.distance_m").alias("distance_m"),
