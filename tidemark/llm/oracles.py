@@ -62,13 +62,19 @@ ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 l AS (SELECT r, count(*) AS n_lines, sum(length(line)) AS line_chars, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 lr AS (SELECT r, line, count(*) - 1 AS more FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
 lc AS (SELECT r, sum(more * length(line)) AS dup_line_chars FROM lr GROUP BY r),
-g AS (
-  SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM w CROSS JOIN (SELECT unnest(range(5, 11)) AS n) WHERE len(w) >= n),
-h AS (SELECT r, n, i, w[i:i + n - 1] AS gram FROM g),
-k AS (SELECT r, n, i, row_number() OVER (PARTITION BY r, n, gram ORDER BY i) AS nth, count(*) OVER (PARTITION BY r, n, gram) AS c FROM h),
-cov AS (SELECT r, n, unnest(range(i, i + n)) AS p, nth > 1 AS later FROM k WHERE c > 1),
+wd AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+ld AS (SELECT r, i, x, lead(x, 1) OVER p AS x1, lead(x, 2) OVER p AS x2, lead(x, 3) OVER p AS x3, lead(x, 4) OVER p AS x4, lead(x, 5) OVER p AS x5, lead(x, 6) OVER p AS x6, lead(x, 7) OVER p AS x7, lead(x, 8) OVER p AS x8, lead(x, 9) OVER p AS x9 FROM wd WINDOW p AS (PARTITION BY r ORDER BY i)),
+h AS (
+  SELECT r, 5 AS n, i, hash(x, x1, x2, x3, x4) AS gram FROM ld WHERE x4 IS NOT NULL UNION ALL
+  SELECT r, 6 AS n, i, hash(x, x1, x2, x3, x4, x5) AS gram FROM ld WHERE x5 IS NOT NULL UNION ALL
+  SELECT r, 7 AS n, i, hash(x, x1, x2, x3, x4, x5, x6) AS gram FROM ld WHERE x6 IS NOT NULL UNION ALL
+  SELECT r, 8 AS n, i, hash(x, x1, x2, x3, x4, x5, x6, x7) AS gram FROM ld WHERE x7 IS NOT NULL UNION ALL
+  SELECT r, 9 AS n, i, hash(x, x1, x2, x3, x4, x5, x6, x7, x8) AS gram FROM ld WHERE x8 IS NOT NULL UNION ALL
+  SELECT r, 10 AS n, i, hash(x, x1, x2, x3, x4, x5, x6, x7, x8, x9) AS gram FROM ld WHERE x9 IS NOT NULL),
+k AS (SELECT r, n, unnest(spots) AS i, head FROM (SELECT r, n, list(i) AS spots, min(i) AS head FROM h GROUP BY r, n, gram HAVING count(*) > 1)),
+cov AS (SELECT r, n, unnest(range(i, i + n)) AS p, i > head AS later FROM k),
 cp AS (SELECT r, n, p, bool_or(later) AS later FROM cov GROUP BY r, n, p),
-ch AS (SELECT cp.r, n, length(w.w[p]) AS len, later FROM cp JOIN w ON w.r = cp.r),
+ch AS (SELECT cp.r, n, length(x) AS len, later FROM cp JOIN wd ON wd.r = cp.r AND wd.i = p),
 x AS (SELECT r, count(*) FILTER (n = 8) AS n_repeat_words,
   coalesce(sum(len) FILTER (later AND n = 5), 0)::BIGINT AS c5, coalesce(sum(len) FILTER (later AND n = 6), 0)::BIGINT AS c6,
   coalesce(sum(len) FILTER (later AND n = 7), 0)::BIGINT AS c7, coalesce(sum(len) FILTER (later AND n = 8), 0)::BIGINT AS c8,
