@@ -67,10 +67,12 @@ def fix_features(df: DataFrame) -> DataFrame:
     return out.drop("__at", "__med", "__dow", "__hod")
 
 
-def fix_predictions(df: DataFrame, as_of: str, default_version: str = "v1.0") -> DataFrame:
-    """Repair prediction records; `as_of` stands for a missing prediction time."""
-    d = df.withColumn("predicted_occupancy", clip(F.col("predicted_occupancy"), 0.0, 1.0))
-    d = with_row(with_row(d, median_of(d, "predicted_occupancy"), "__med"), mode_of(df, "model_version"), "__ver")
+def fix_predictions(df: DataFrame, as_of: str, default_version: str = "v1.0", known: DataFrame | None = None) -> DataFrame:
+    """Repair prediction records; `as_of` stands for a missing prediction time. The median and the most frequent version that stand
+    for missing values are those of `known`, by default of the records themselves."""
+    inside = lambda x: x.withColumn("predicted_occupancy", clip(F.col("predicted_occupancy"), 0.0, 1.0))
+    d, known = inside(df), df if known is None else known
+    d = with_row(with_row(d, median_of(inside(known), "predicted_occupancy"), "__med"), mode_of(known, "model_version"), "__ver")
     made = F.coalesce(rules.parse_time(F.col("prediction_timestamp")), F.lit(as_of).cast("timestamp"))
     meant = rules.parse_time(F.col("predicted_for_timestamp"))
     out = d.withColumns({

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tidemark import fixtures as fx
 from tidemark.fixtures import ctes
 from tidemark.operators.monitoring import alerts
-from tidemark.registry.core import query
+from tidemark.registry.core import ORACLE, query
 from tidemark.registry.features import SCORE_SQL, TS
-from tidemark.registry.quality import RAW, joined
+from tidemark.registry.quality import PREDICTION, RAW, joined
 from tidemark.sources.writers import scratch
 from tidemark.streaming import jobs
 
@@ -104,6 +104,23 @@ def st7b(spark, root):
     return spark.read.parquet(good).select("record_id", F.col("occupancy_rate").between(0, 1).alias("rate_ok"))
 
 
+@query("st7_load_predictions", ctes("dirty_predictions") + f"SELECT record_id, CASE WHEN {joined(PREDICTION)} = '' THEN 'loaded' ELSE 'aside' END AS outcome FROM dirty_predictions")
+def st7c(spark, root):
+    good, bad = scratch(spark, "loaded"), scratch(spark, "aside")
+    jobs.validate_and_load(plain(fx.dirty_predictions(spark, root)), "prediction", good, bad)
+    a = spark.read.parquet(good).select("record_id", F.lit("loaded").alias("outcome"))
+    return a.unionByName(spark.read.parquet(bad).select("record_id", F.lit("aside").alias("outcome")))
+
+
+@query("st7_repair_predictions", ORACLE["dq8_fix_predictions"], digits=11)
+def st7d(spark, root):
+    """The stream gives what the batch repair gives, however the files arrive."""
+    good, bad = scratch(spark, "loaded"), scratch(spark, "aside")
+    p = fx.dirty_predictions(spark, root)
+    jobs.validate_and_load(plain(p), "prediction", good, bad, fix=True, as_of="2024-02-01 00:00:00", known=p)
+    return spark.read.parquet(good).drop("location_id", "batch")
+
+
 @query("st8_throttled_alerts")
 def st8(spark, root):
     a = alerts(as_files(fx.scored_metrics(spark, root), "metrics"), "performance")

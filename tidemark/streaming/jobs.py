@@ -150,9 +150,18 @@ def score_arrivals(stream: DataFrame) -> DataFrame:
     return feats.rule_scores(stream)
 
 
-def validate_and_load(stream: DataFrame, kind: str, loaded: str, aside: str, fix: bool = False) -> None:
-    """Validate each micro-batch; valid rows are loaded, invalid ones set aside, or repaired and loaded."""
-    mend = {"feature": repair.fix_features, "raw": repair.fix_raw}
+# The time columns of the records.
+TIMES = {"feature": ["timestamp"], "raw": ["timestamp"], "prediction": ["prediction_timestamp", "predicted_for_timestamp"]}
+
+
+def validate_and_load(stream: DataFrame, kind: str, loaded: str, aside: str, fix: bool = False, as_of: str | None = None, known: DataFrame | None = None) -> None:
+    """Validate each micro-batch; valid rows are loaded, invalid ones set aside, or repaired and loaded.
+
+    Predictions: `as_of` stands for a missing time, and what stands for missing values comes from the table `known`, so that the
+    result does not depend on how files arrive (without it, from the micro-batch, as for the other kinds)."""
+    if kind == "prediction" and fix and as_of is None:
+        raise ValueError("repaired predictions need as_of")
+    mend = {"feature": repair.fix_features, "raw": repair.fix_raw, "prediction": lambda d: repair.fix_predictions(d, as_of, known=known)}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         v = quality.validate(batch, kind).persist()
@@ -161,7 +170,7 @@ def validate_and_load(stream: DataFrame, kind: str, loaded: str, aside: str, fix
         if fix:
             write_batch(mend[kind](v.drop("reasons")), loaded, batch_id)
         else:
-            good = v.where(~bad).drop("reasons").withColumn("timestamp", rules.parse_time(F.col("timestamp")))
+            good = v.where(~bad).drop("reasons").withColumns({c: rules.parse_time(F.col(c)) for c in TIMES[kind]})
             write_batch(good, loaded, batch_id)
         v.unpersist()
 
