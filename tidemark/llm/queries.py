@@ -15,32 +15,39 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_document_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
     return fingerprints.fingerprints(read_table(spark, root, "documents"))
 
 
 def op2_line_templates(spark: SparkSession, root: str) -> DataFrame:
+    """Lines dropped from every document because their template recurs."""
     return lines.line_report(read_table(spark, root, "documents"))
 
 
 def op3_spaced_seed_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """Overlaps of documents with the benchmark that allow for substitutions."""
     return decontaminate.overlaps(read_table(spark, root, "documents"), read_table(spark, root, "benchmark")).drop("row")
 
 
 def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
+    """The predicted language of every document."""
     docs = read_table(spark, root, "documents")
     got = language.predict(docs.select("doc_id", "text"), language.fit(docs))
     return got.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op5_simhash_gray_index(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(read_table(spark, root, "documents"))
 
 
 def op6_fm_index_substrings(spark: SparkSession, root: str) -> DataFrame:
+    """Words removed from every document as parts of earlier 50-word windows."""
     return fmindex.dedup_substrings(read_table(spark, root, "documents"))
 
 
 def op7_sentencepiece_lattice(spark: SparkSession, root: str) -> DataFrame:
+    """Piece ids of every document and the digest of their decoding."""
     docs = read_table(spark, root, "documents").select("doc_id", "text")
     coder = pieces.shared_coder(docs.select("text"), pieces.load(corpus_pipeline.MODEL))
     got = pieces.encode(docs, coder, check="decoded_sha256")
@@ -48,16 +55,19 @@ def op7_sentencepiece_lattice(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op8_quality_subwords(spark: SparkSession, root: str) -> DataFrame:
+    """Quality score of every document."""
     docs = read_table(spark, root, "documents")
     got = quality.score(docs.select("doc_id", "text"), quality.fit(docs, read_table(spark, root, "labels")))
     return got.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_maximal_repeats(spark: SparkSession, root: str) -> DataFrame:
+    """Bytes removed from every document as parts of repeated strings."""
     return repeats.dedup_bytes(read_table(spark, root, "documents"))
 
 
 def op10_multipart_secrets(spark: SparkSession, root: str) -> DataFrame:
+    """Secret spans of every document, linked parts included."""
     return secrets.scan(read_table(spark, root, "documents"))
 
 
