@@ -271,12 +271,12 @@ def test_repeated_shingles_do_not_make_texts_alike(spark):
     assert near.first_of_each(spark.createDataFrame(rows, "doc_id int, text string")).count() == 2
 
 
-def test_crowded_buckets_keep_a_group_together(spark):
-    made = edited(5, 1, 300, 3)
-    prints = near.with_print(spark.createDataFrame([(t,) for t in made], "text string"), "text").distinct()
-    found = near.candidates(prints, bucket=16)
-    assert found.count() < 32 * 2 * prints.count()
-    assert components(found).select("root").distinct().count() == 1
+def test_partners_of_one_text_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near, "PARTNERS", 3)
+    made = edited(5, 1, 60, 3)
+    rows = [*enumerate(made), (0, made[0]), (99, "some other text of more than five words")]
+    got = near.first_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 99]
 
 
 # 6, 9 ---------------------------------------------------------------------------------------------------------------------------
