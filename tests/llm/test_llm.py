@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 
 import numpy as np
@@ -135,6 +137,45 @@ def test_overlaps_tolerate_substitutions(spark):
     assert decontaminate.overlaps(empty(docs), tests).count() == 0 and decontaminate.clean(docs, empty(tests)).count() == len(rows)
 
 
+def test_masks_lose_no_substitution():
+    for need in range(1, decontaminate.WINDOW + 1):
+        masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS[max(k for k in decontaminate.MASKS if k <= need)]]
+        for gone in itertools.combinations(range(need), need - math.ceil(need * decontaminate.AGREE)):
+            assert any(not {p + k for k in mask} & set(gone) for mask in masks for p in range(need - mask[-1])), (need, gone)
+
+
+def test_overlaps_against_every_alignment(spark):
+    rng = np.random.default_rng(8)
+    items = {n: [f"t{n}x{k}" for k in range(n)] for n in range(1, 21)}
+    made = []
+    for n, item in items.items():
+        need = min(13, n)
+        for gone in ({}, *(set(rng.choice(n, min(n, need - math.ceil(need * 0.8) + extra), replace=False)) for extra in (0, 0, 0, 1) for _ in range(3))):
+            words = [f"o{rng.integers(50)}" if k in gone else w for k, w in enumerate(item)]
+            cut_at = int(rng.integers(0, 3)) if n > 13 else 0
+            made.append([f"o{k}" for k in rng.integers(0, 50, rng.integers(0, 4))] * (cut_at == 0) + words[cut_at:] + [f"o{k}" for k in rng.integers(0, 50, rng.integers(0, 4))])
+    want = set()
+    for d, words in enumerate(made):
+        for n, item in items.items():
+            need = min(13, n)
+            for shift in range(-n + 1, len(words)):
+                same = [words[p] == item[p - shift] for p in range(max(shift, 0), min(len(words), shift + n))]
+                if any(sum(same[i : i + need]) >= need * 0.8 for i in range(len(same) - need + 1)):
+                    want.add((d, n, shift, len(same), sum(same)))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(made)], "doc_id int, text string")
+    tests = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"], r["shift"], r["overlap"], r["equal"]) for r in decontaminate.overlaps(docs, tests).collect()}
+    assert got == want and len(want) > 150
+
+
+def test_short_items_drop_no_document(spark):
+    docs = spark.createDataFrame([(1, "yes it is"), (2, "no")], "doc_id int, text string")
+    tests = spark.createDataFrame([(1, "yes")], "item_id int, text string")
+    assert decontaminate.overlaps(docs, tests).count() == 1 and decontaminate.clean(docs, tests).count() == 2
+    with pytest.raises(ValueError):
+        decontaminate.overlaps(docs, tests, window=20)
+
+
 def test_all_verbatim_items_are_found(spark, docs, texts):
     tests = spark.read.parquet(f"{ROOT}/benchmark.parquet")
     found = {r["doc_id"] for r in decontaminate.overlaps(docs, tests).select("doc_id").collect()}

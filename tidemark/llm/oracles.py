@@ -31,19 +31,15 @@ SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
 FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
 """
 
-# overlaps: seeds join on the tokens the masks let through, then runs of 13 aligned tokens with 80 % agreement
+# overlaps: no seeds, every alignment with enough equal tokens is looked at, then runs of 13 aligned tokens with 80 % agreement
 ORACLE["op3_spaced_seed_decontamination"] = r"""
 WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM d),
-bs AS (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM b),
-dm AS (
-  SELECT id, i, 0 AS m, [w[i], w[i+1], w[i+2], w[i+4], w[i+6], w[i+7]] AS k FROM ds
-  UNION ALL SELECT id, i, 1, [w[i], w[i+1], w[i+3], w[i+4], w[i+5], w[i+7]] FROM ds),
-bm AS (
-  SELECT id, i, 0 AS m, [w[i], w[i+1], w[i+2], w[i+4], w[i+6], w[i+7]] AS k FROM bs
-  UNION ALL SELECT id, i, 1, [w[i], w[i+1], w[i+3], w[i+4], w[i+5], w[i+7]] FROM bs),
-h AS (SELECT DISTINCT dm.id AS doc_id, bm.id AS item_id, dm.i - bm.i AS shift FROM dm JOIN bm USING (m, k)),
+dt AS (SELECT id, unnest(w) AS k, generate_subscripts(w, 1) AS i FROM d),
+bt AS (SELECT id, least(13, len(w)) AS need, unnest(w) AS k, generate_subscripts(w, 1) AS i FROM b),
+h AS (
+  SELECT dt.id AS doc_id, bt.id AS item_id, dt.i - bt.i AS shift FROM dt JOIN bt USING (k)
+  GROUP BY dt.id, bt.id, dt.i - bt.i, need HAVING count(*) >= need * 0.8),
 a AS (
   SELECT h.*, d.w AS dw, b.w AS bw, greatest(shift, 0) AS f, least(len(d.w), shift + len(b.w)) - greatest(shift, 0) AS overlap, least(13, len(b.w)) AS need
   FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id),
