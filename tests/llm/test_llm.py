@@ -109,9 +109,41 @@ def test_templates_with_open_fields_go(spark):
     assert "this page" in {r["doc_id"]: r["text"] for r in first.collect()}[0]
 
 
-def test_copies_of_a_document_are_one_setting(spark):
-    rows = [(k, "a first line here\na second line here\na third line here") for k in range(30)]
-    assert lines.line_report(spark.createDataFrame(rows, "doc_id int, text string")).agg(F.sum("n_dropped")).first()[0] == 0
+def dropped(spark, made, **kw):
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id int, text string")
+    return [r["n_dropped"] for r in lines.line_report(docs, **kw).orderBy("doc_id").collect()]
+
+
+def test_copies_of_a_document_count_once(spark):
+    assert sum(dropped(spark, ["a first line here\na second line here\na third line here"] * 30)) == 0
+    assert sum(dropped(spark, ["one common line of this text\nown words\n" * 8])) == 0
+
+
+def test_blocks_in_many_documents_go_whole(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    own = lambda k: "\n".join(" ".join(word() for _ in range(6)) for _ in range(8))
+    block = "all rights are kept by us\nask before you copy this\nthank you"
+    assert dropped(spark, [f"{own(k)}\n{block}" for k in range(40)]) == [3] * 40
+    assert dropped(spark, [f"{own(k)}\n{block}" for k in range(40)], keep_first=True) == [0] + [3] * 39
+    assert sum(dropped(spark, [f"{own(k)}\n{block}" for k in range(4)])) == 0
+
+
+def test_near_copies_may_count_once(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    base = [" ".join(word() for _ in range(8)) for _ in range(12)]
+    edited_line = lambda k: [*base[:k], " ".join(word() for _ in range(8)), *base[k + 1 :]]
+    made = ["\n".join(edited_line(k)) for k in range(12)]
+    assert all(n >= 10 for n in dropped(spark, made)) and sum(dropped(spark, made, near_copies_once=True)) == 0
+    others = ["\n".join([base[0], *[" ".join(word() for _ in range(8)) for _ in range(6)]]) for _ in range(6)]
+    assert dropped(spark, others, near_copies_once=True) == [1] * 6
+
+
+def test_ties_of_the_first_document(spark):
+    rows = [(min(k // 2, 3), f"own {c} text {c}{c}\nthe same short line") for k, c in enumerate("abcdefgh")] + [(None, "some other {c} text\nthe same short line")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string"), keep_first=True).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None and "same short" in r["text"]) == [0, 0]
 
 
 def test_lines_of_odd_rows(odd):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.frames import cut
+from tidemark.llm.frames import cut, stored
 
 #: Depth of the tree below the token count.
 LEAD = 2
@@ -30,20 +30,26 @@ def _parsed(text: Column) -> Column:
     return F.transform(lines, one)
 
 
-def recurring(docs: DataFrame, least: int = 5, tokens: int = 3, keep_first: bool = False) -> DataFrame:
+def recurring(docs: DataFrame, least: int = 5, tokens: int = 1, keep_first: bool = False, near_copies_once: bool = False) -> DataFrame:
     """(row, pos) of the lines to drop. docs: doc_id, row, text.
 
-    A template recurs if it stands in `least` or more different settings, a setting being the lines before and behind, so that copies of one document are one setting. Lines under `tokens` tokens stay. With `keep_first` the smallest
-    document with a template keeps its lines. The tree prunes: only lines whose path recurs are tried with their templates."""
-    raw = F.transform(F.split("text", "\n", -1), lambda line: F.xxhash64(line))
-    parsed = docs.select("row", "doc_id", _parsed(F.col("text")).alias("p"), raw.alias("raw"))
-    at = lambda i: F.coalesce(F.get("raw", i), F.lit(0))
-    placed = F.transform("p", lambda x, i: F.struct(i.alias("pos"), x["n"].alias("n"), x["path"].alias("path"), F.xxhash64(at(i - 1), at(i + 1)).alias("setting"), x["templates"].alias("templates")))
-    lines = parsed.select("row", "doc_id", F.explode(F.filter(placed, lambda x: x["n"] >= tokens)).alias("x")).select("row", "doc_id", "x.pos", "x.path", "x.setting", "x.templates")
+    A template recurs if it stands in `least` or more documents; equal texts count once, and so do repeats inside one text. With
+    `near_copies_once` documents count once if the least hash of their other lines agrees, as it does for most edited copies: their lines
+    stay for near-dedup. Lines under `tokens` tokens stay; those of fewer than 1 / OPEN tokens recur in their exact form only. With
+    `keep_first` the smallest document with a template keeps its lines. The tree prunes: only lines whose path recurs are tried with
+    their templates."""
+    raw = F.transform(F.split("text", "\n", -1), lambda line: F.when(line.rlike(r"\S"), F.xxhash64(line)))
+    columns = [F.xxhash64("text").alias("whole"), *([raw.alias("raw")] if near_copies_once else [])]
+    parsed = docs.select("row", "doc_id", _parsed(F.col("text")).alias("p"), *columns)
+    if near_copies_once:
+        parsed = parsed.withColumn("low", F.slice(F.array_sort(F.array_distinct(F.array_compact("raw"))), 1, 2))
+    source = lambda i: F.when(F.get("raw", i) == F.get("low", F.lit(0)), F.coalesce(F.get("low", F.lit(1)), F.lit(0))).otherwise(F.get("low", F.lit(0))) if near_copies_once else F.col("whole")
+    placed = F.transform("p", lambda x, i: F.struct(i.alias("pos"), x["n"].alias("n"), x["path"].alias("path"), source(i).alias("source"), x["templates"].alias("templates")))
+    lines = parsed.select("row", "doc_id", F.explode(F.filter(placed, lambda x: x["n"] >= tokens)).alias("x")).select("row", "doc_id", "x.pos", "x.path", "x.source", "x.templates")
     lines = cut(lines)
-    paths = lines.select("path", "setting").distinct().groupBy("path").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("path")
-    live = lines.join(paths, "path").select("row", "doc_id", "pos", "setting", F.explode("templates").alias("template"))
-    counted = live.groupBy("template", "setting").agg(F.min("doc_id").alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
+    paths = lines.select("path", "source").distinct().groupBy("path").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("path")
+    live = lines.join(paths, "path").select("row", "doc_id", "pos", "source", F.explode("templates").alias("template"))
+    counted = live.groupBy("template", "source").agg(F.min("doc_id").alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
     drop = live.join(counted.where(F.col("c") >= least).select("template", "first"), "template")
     if keep_first:
         drop = drop.where(~F.col("doc_id").eqNullSafe(F.col("first")))
@@ -55,7 +61,8 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
     own = docs.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")))
     base = own.select("__row", F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumnRenamed("__row", "row")
     gone = recurring(base, **kw).groupBy("row").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("row", "__row")
-    return own.join(gone, "__row", "left")
+    # written first, so that Spark knows its size: the texts are shuffled for this join only where the lines to drop are many
+    return own.join(stored(gone, "gone"), "__row", "left")
 
 
 def _kept(text: Column) -> Column:

@@ -2,29 +2,26 @@
 
 ORACLE: dict[str, str] = {}
 
-# lines: words with a digit are fields; a template is the exact token list or one with an open run behind two leading tokens
+# lines: words with a digit are fields; a template is the exact token list or one with an open run behind two leading tokens;
+# equal texts count once
 ORACLE["op2_line_templates"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (
-  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+  SELECT doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
 t AS (
-  SELECT doc_id, pos, line,
+  SELECT doc_id, text, pos, line,
     list_filter(string_split_regex(regexp_replace(line, '[^\s0-9]*[0-9]\S*', '<*>', 'g'), '\s+'), lambda x: x <> '') AS w FROM l),
 s AS (
-  SELECT *, len(w) AS n, CAST(floor(len(w) * 0.2) AS INT) AS run, array_to_string(w, ' ') AS exact,
-    line AS e FROM t),
-f AS (
-  SELECT *, CAST(n AS VARCHAR) || '|' || array_to_string(w[1:2], ' ') AS path,
-    coalesce(lag(e) OVER p, chr(1)) || chr(2) || coalesce(lead(e) OVER p, chr(1)) AS setting
-  FROM s WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+  SELECT *, len(w) AS n, CAST(floor(len(w) * 0.2) AS INT) AS run, array_to_string(w, ' ') AS exact FROM t),
+f AS (SELECT s.*, md5(text) AS source, CAST(n AS VARCHAR) || '|' || array_to_string(w[1:2], ' ') AS path FROM s WHERE n > 0),
 live AS (
-  SELECT * FROM f WHERE n >= 3 AND path IN (SELECT path FROM f WHERE n >= 3 GROUP BY path HAVING count(DISTINCT setting) >= 5)),
+  SELECT * FROM f WHERE path IN (SELECT path FROM f GROUP BY path HAVING count(DISTINCT source) >= 5)),
 x AS (
-  SELECT doc_id, pos, setting, unnest(list_concat(['e|' || exact],
+  SELECT doc_id, pos, source, unnest(list_concat(['e|' || exact],
     CASE WHEN run > 0 AND n > 2 THEN list_transform(range(CAST(ceil((n - 2) / run) AS INT)),
       lambda k: n || '|' || k || '|' || array_to_string(w[1:k * run + 2], ' ') || chr(3) || array_to_string(w[(k + 1) * run + 3:n], ' ')) ELSE [] END)) AS template
   FROM live),
-r AS (SELECT template FROM x GROUP BY template HAVING count(DISTINCT setting) >= 5),
+r AS (SELECT template FROM x GROUP BY template HAVING count(DISTINCT source) >= 5),
 gone AS (SELECT DISTINCT doc_id, pos FROM x WHERE template IN (SELECT template FROM r))
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
