@@ -129,6 +129,48 @@ def test_blocks_in_many_documents_go_whole(spark):
     assert sum(dropped(spark, [f"{own(k)}\n{block}" for k in range(4)])) == 0
 
 
+def test_separate_fields_are_learned_in_their_leaf(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    said = lambda a, b: f"the user {a} was logged in from host {b} at the main office today"
+    assert dropped(spark, [f"{word()} {word()}\n{said(word(), word())}" for _ in range(8)]) == [1] * 8
+    assert sum(dropped(spark, [f"{word()} {word()}\n{said(word(), word())}" for _ in range(4)])) == 0
+    # a field may stand anywhere behind the leading tokens, and three of 14 tokens are too many
+    astride = [f"a line with {word()} {word()} in it and ten tokens" for _ in range(6)]
+    assert dropped(spark, astride) == [1] * 6
+    assert sum(dropped(spark, [f"the user {word()} was logged in from {word()} {word()} at the main office today" for _ in range(8)])) == 0
+
+
+def test_templates_against_loops(spark):
+    rng = np.random.default_rng(8)
+    made = ["\n".join(" ".join(rng.choice(["a", "b", "c", "d1", "ee"], rng.choice([0, 1, 3, 5, 6, 10, 11]), p=[0.6, 0.1, 0.1, 0.1, 0.1])) for _ in range(6)) for _ in range(30)]
+    made += made[:5]
+    parse = lambda line: tuple("<*>" if any(c.isdigit() for c in w) else w for w in line.split())
+    places = [(text, k, parse(line)) for text in set(made) for k, line in enumerate(text.split("\n"))]
+    leaf = {}
+    for text, _, t in places:
+        for i, w in enumerate(t):
+            leaf.setdefault((len(t), t[:2], i, w), set()).add(text)
+
+    def forms(t):
+        n, run = len(t), int(len(t) * 0.2)
+        got = [("exact", t)]
+        if run and n > 2:
+            got += [(i, t[:i], t[i + run :], n) for i in range(2, n, run)]
+            open_at = [i for i in range(2, n) if len(leaf[(n, t[:2], i, t[i])]) < 5]
+            if 0 < len(open_at) <= run:
+                got.append(("learned", tuple(None if i in open_at else w for i, w in enumerate(t))))
+        return got
+
+    holders = {}
+    for text, _, t in places:
+        for f in forms(t):
+            holders.setdefault(f, set()).add(text)
+    want = [sum(bool(parse(line)) and any(len(holders[f]) >= 5 for f in forms(parse(line))) for line in text.split("\n")) for text in made]
+    assert 0 < sum(want) < sum(len(text.split("\n")) for text in made)
+    assert dropped(spark, made) == want
+
+
 def test_near_copies_may_count_once(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))

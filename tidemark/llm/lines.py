@@ -1,4 +1,4 @@
-"""Line dedup by a log-template tree: token count, leading tokens, then a wildcard run; templates that recur across documents are dropped."""
+"""Line dedup by a log-template tree: token count, leading tokens, then fields learned in the leaf; templates that recur across documents are dropped."""
 
 from __future__ import annotations
 
@@ -8,49 +8,73 @@ from tidemark.llm.frames import cut, stored
 
 #: Depth of the tree below the token count.
 LEAD = 2
-#: Share of a line's tokens that a template may leave open in one run; the rest agrees, hence a similarity of 0.8 or more.
+#: Share of a line's tokens that a template may leave open, in one run or as single fields; the rest agrees, hence a similarity of 0.8 or more.
 OPEN = 0.2
 
 
-def _parsed(text: Column) -> Column:
-    """Per line: path (token count and leading tokens), exact template, and templates with one open run behind the leading tokens.
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
 
-    A token with a digit is a variable field. Lines of no tokens have path null."""
-    masked = F.regexp_replace(text, r"[^\s0-9]*[0-9]\S*", "<*>")
-    lines = F.transform(F.split(masked, "\n", -1), lambda line: F.transform(F.filter(F.split(line, r"\s+"), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
-    def one(t: Column) -> Column:
-        n = F.size(t)
-        run = F.floor(n * OPEN).cast("int")
-        runs = F.when((run > 0) & (n > LEAD), F.sequence(F.lit(0), F.ceil((n - LEAD) / run).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-        exact = F.xxhash64(n, t)
-        opened = F.transform(runs, lambda k: F.xxhash64(n, k, F.slice(t, 1, k * run + LEAD), F.slice(t, (k + 1) * run + LEAD + 1, n)))
-        return F.struct(n.alias("n"), F.xxhash64(n, F.slice(t, 1, LEAD)).alias("path"), F.concat(F.array(exact), opened).alias("templates"))
+def _masked(words: Column) -> Column:
+    """64-bit hashes of the tokens; a token with a digit is a variable field. Masking takes one token for one, so counts do not change."""
+    return F.transform(words, lambda t: F.xxhash64(F.when(t.rlike("[0-9]"), "<*>").otherwise(t)))
 
-    return F.transform(lines, one)
+
+def _run() -> Column:
+    """Tokens that a template of a line of n tokens may leave open."""
+    return F.when(F.col("n") > LEAD, F.floor(F.col("n") * OPEN)).otherwise(0).cast("int")
+
+
+def _placed(docs: DataFrame, tokens: int, near_copies_once: bool) -> DataFrame:
+    """row, doc_id, pos, source, words, n, path: every line of `tokens` tokens or more and its leaf (token count and leading tokens)."""
+    lines = F.split("text", "\n", -1)
+    if near_copies_once:
+        raw = F.transform(lines, lambda line: F.when(line.rlike(r"\S"), F.xxhash64(line)))
+        low = F.slice(F.array_sort(F.array_distinct(F.array_compact(raw))), 1, 2)
+        others = F.when(F.xxhash64("line") == F.get("low", F.lit(0)), F.coalesce(F.get("low", F.lit(1)), F.lit(0))).otherwise(F.get("low", F.lit(0)))
+        base = docs.select("row", "doc_id", low.alias("low"), F.posexplode(lines).alias("pos", "line")).withColumn("source", others)
+    else:
+        base = docs.select("row", "doc_id", F.xxhash64("text").alias("source"), F.posexplode(lines).alias("pos", "line"))
+    found = base.select("row", "doc_id", "pos", "source", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= tokens)
+    return found.withColumn("path", F.xxhash64("n", _masked(F.slice("words", 1, LEAD))))
+
+
+def _learned(live: DataFrame, least: int) -> DataFrame:
+    """row, doc_id, pos, source, template: the template that its leaf's lines teach for a line.
+
+    A token is constant where `least` or more documents have it at this place of the leaf, else the place is a field. Lines with more
+    fields than a template may leave open get no template."""
+    rows = live.where(_run() > 0).select("row", "doc_id", "pos", "source", "n", "path", F.posexplode("t").alias("place", "token")).where(F.col("place") >= LEAD)
+    rows = rows.select("row", "doc_id", "pos", "source", "n", "path", "place", F.xxhash64("path", "place", "token").alias("key"))
+    constant = rows.select("key", "source").distinct().groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("key", F.col("key").alias("known"))
+    # written first, so that Spark knows its size and sends it to the rows where it is small
+    seen = rows.join(stored(constant, "constants"), "key", "left")
+    # repeated rows share row and pos, and count once in the set
+    whole = seen.groupBy("row", "pos", "source", "n", "path").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("place", "known"))).alias("places"))
+    fields = F.size(F.filter("places", lambda x: x["known"].isNull()))
+    return whole.where((fields > 0) & (fields <= _run())).select("row", "doc_id", "pos", "source", F.xxhash64("path", "places").alias("template"))
 
 
 def recurring(docs: DataFrame, least: int = 5, tokens: int = 1, keep_first: bool = False, near_copies_once: bool = False) -> DataFrame:
     """(row, pos) of the lines to drop. docs: doc_id, row, text.
 
-    A template recurs if it stands in `least` or more documents; equal texts count once, and so do repeats inside one text. With
+    A line's templates are its exact form, its form with one open run of tokens, and the one its leaf teaches (see `_learned`). A template
+    recurs if it stands in `least` or more documents; equal texts count once, and so do repeats inside one text. With
     `near_copies_once` documents count once if the least hash of their other lines agrees, as it does for most edited copies: their lines
     stay for near-dedup. Lines under `tokens` tokens stay; those of fewer than 1 / OPEN tokens recur in their exact form only. With
-    `keep_first` the smallest document with a template keeps its lines. The tree prunes: only lines whose path recurs are tried with
-    their templates."""
-    raw = F.transform(F.split("text", "\n", -1), lambda line: F.when(line.rlike(r"\S"), F.xxhash64(line)))
-    columns = [F.xxhash64("text").alias("whole"), *([raw.alias("raw")] if near_copies_once else [])]
-    parsed = docs.select("row", "doc_id", _parsed(F.col("text")).alias("p"), *columns)
-    if near_copies_once:
-        parsed = parsed.withColumn("low", F.slice(F.array_sort(F.array_distinct(F.array_compact("raw"))), 1, 2))
-    source = lambda i: F.when(F.get("raw", i) == F.get("low", F.lit(0)), F.coalesce(F.get("low", F.lit(1)), F.lit(0))).otherwise(F.get("low", F.lit(0))) if near_copies_once else F.col("whole")
-    placed = F.transform("p", lambda x, i: F.struct(i.alias("pos"), x["n"].alias("n"), x["path"].alias("path"), source(i).alias("source"), x["templates"].alias("templates")))
-    lines = parsed.select("row", "doc_id", F.explode(F.filter(placed, lambda x: x["n"] >= tokens)).alias("x")).select("row", "doc_id", "x.pos", "x.path", "x.source", "x.templates")
-    lines = cut(lines)
-    paths = lines.select("path", "source").distinct().groupBy("path").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("path")
-    live = lines.join(paths, "path").select("row", "doc_id", "pos", "source", F.explode("templates").alias("template"))
-    counted = live.groupBy("template", "source").agg(F.min("doc_id").alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
-    drop = live.join(counted.where(F.col("c") >= least).select("template", "first"), "template")
+    `keep_first` the smallest document with a template keeps its lines. The tree prunes: only lines whose leaf recurs are hashed and
+    tried with their templates."""
+    leaves = _placed(docs, tokens, near_copies_once).select("path", "source").distinct().groupBy("path").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    placed = _placed(docs, tokens, near_copies_once).join(stored(leaves.select("path"), "leaves"), "path")
+    live = cut(placed.select("row", "doc_id", "pos", "source", "n", "path", _masked(F.col("words")).alias("t")))
+    n, t, run = F.col("n"), F.col("t"), _run()
+    runs = F.when(run > 0, F.sequence(F.lit(0), F.ceil((n - LEAD) / run).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    opened = F.transform(runs, lambda k: F.xxhash64(n, k, F.slice(t, 1, k * run + LEAD), F.slice(t, (k + 1) * run + LEAD + 1, n)))
+    forms = live.select("row", "doc_id", "pos", "source", F.explode(F.concat(F.array(F.xxhash64(n, t)), opened)).alias("template"))
+    forms = cut(forms.unionByName(_learned(live, least)))
+    counted = forms.groupBy("template", "source").agg(F.min("doc_id").alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
+    drop = forms.join(counted.where(F.col("c") >= least).select("template", "first"), "template")
     if keep_first:
         drop = drop.where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return drop.select("row", "pos").distinct()

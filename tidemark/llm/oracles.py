@@ -2,8 +2,8 @@
 
 ORACLE: dict[str, str] = {}
 
-# lines: words with a digit are fields; a template is the exact token list or one with an open run behind two leading tokens;
-# equal texts count once
+# lines: words with a digit are fields; a template is the exact token list, one with an open run behind two leading tokens,
+# or one that is open where no token stands in five documents with its leaf (token count and leading tokens); equal texts count once
 ORACLE["op2_line_templates"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (
@@ -21,8 +21,16 @@ x AS (
     CASE WHEN run > 0 AND n > 2 THEN list_transform(range(CAST(ceil((n - 2) / run) AS INT)),
       lambda k: n || '|' || k || '|' || array_to_string(w[1:k * run + 2], ' ') || chr(3) || array_to_string(w[(k + 1) * run + 3:n], ' ')) ELSE [] END)) AS template
   FROM live),
-r AS (SELECT template FROM x GROUP BY template HAVING count(DISTINCT source) >= 5),
-gone AS (SELECT DISTINCT doc_id, pos FROM x WHERE template IN (SELECT template FROM r))
+tk AS (
+  SELECT doc_id, pos, source, path, run, unnest(w) AS tok, generate_subscripts(w, 1) AS place FROM live WHERE run > 0 AND n > 2),
+const AS (SELECT path, place, tok, true AS known FROM tk GROUP BY path, place, tok HAVING count(DISTINCT source) >= 5),
+learned AS (
+  SELECT doc_id, pos, source, 'l|' || path || '|' || string_agg(CASE WHEN place > 2 AND known IS NULL THEN chr(4) ELSE tok END, ' ' ORDER BY place) AS template
+  FROM tk LEFT JOIN const USING (path, place, tok) GROUP BY doc_id, pos, source, path, run
+  HAVING count(*) FILTER (place > 2 AND known IS NULL) BETWEEN 1 AND run),
+y AS (SELECT * FROM x UNION ALL SELECT doc_id, pos, source, template FROM learned),
+r AS (SELECT template FROM y GROUP BY template HAVING count(DISTINCT source) >= 5),
+gone AS (SELECT DISTINCT doc_id, pos FROM y WHERE template IN (SELECT template FROM r))
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
