@@ -147,18 +147,28 @@ def test_templates_against_loops(spark):
     made += made[:5]
     parse = lambda line: tuple("<*>" if any(c.isdigit() for c in w) else w for w in line.split())
     places = [(text, k, parse(line)) for text in set(made) for k, line in enumerate(text.split("\n"))]
-    leaf = {}
+
+    def blocks(t):
+        n, run = len(t), int(len(t) * 0.2)
+        at = [2 + k * (n - 2) // (run + 1) for k in range(run + 2)]
+        return [(n, t[:2], k, t[at[k] : at[k + 1]]) for k in range(run + 1)] if run and n > 2 else []
+
+    shared, leaf = {}, {}
+    for text, _, t in places:
+        for b in blocks(t):
+            shared.setdefault(b, set()).add(text)
     for text, _, t in places:
-        for i, w in enumerate(t):
-            leaf.setdefault((len(t), t[:2], i, w), set()).add(text)
+        if any(len(shared[b]) >= 5 for b in blocks(t)):
+            for i, w in enumerate(t):
+                leaf.setdefault((len(t), t[:2], i, w), set()).add(text)
 
     def forms(t):
         n, run = len(t), int(len(t) * 0.2)
         got = [("exact", t)]
         if run and n > 2:
             got += [(i, t[:i], t[i + run :], n) for i in range(2, n, run)]
-            open_at = [i for i in range(2, n) if len(leaf[(n, t[:2], i, t[i])]) < 5]
-            if 0 < len(open_at) <= run:
+            open_at = [i for i in range(2, n) if len(leaf.get((n, t[:2], i, t[i]), ())) < 5]
+            if any(len(shared[b]) >= 5 for b in blocks(t)) and 0 < len(open_at) <= run:
                 got.append(("learned", tuple(None if i in open_at else w for i, w in enumerate(t))))
         return got
 

@@ -13,7 +13,9 @@ OPEN = 0.2
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
+    """Runs between white space; lines whose only white space is the blank, nearly all of them, need no pattern."""
+    odd = line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
+    return F.array_remove(F.when(odd, F.split(line, r"\s+")).otherwise(F.split(line, " ")), "")
 
 
 def _masked(words: Column) -> Column:
@@ -40,12 +42,26 @@ def _placed(docs: DataFrame, tokens: int, near_copies_once: bool) -> DataFrame:
     return found.withColumn("path", F.xxhash64("n", _masked(F.slice("words", 1, LEAD))))
 
 
-def _learned(live: DataFrame, least: int) -> DataFrame:
-    """row, doc_id, pos, source, template: the template that its leaf's lines teach for a line.
+def _recurs(forms: DataFrame, least: int) -> DataFrame:
+    """forms whose template stands in `least` or more documents, with the smallest document that has it as `first`."""
+    counted = forms.groupBy("template", "source").agg(F.min("doc_id").alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
+    return forms.join(counted.where(F.col("c") >= least).select("template", "first"), "template")
+
+
+def _blocks() -> Column:
+    """The tokens behind the leading ones in one block more than a template has fields, so that lines of one template agree in a block."""
+    n, run = F.col("n"), _run()
+    start = lambda k: LEAD + F.floor(k * (n - LEAD) / (run + 1)).cast("int")
+    each = F.when(run > 0, F.sequence(F.lit(0), run)).otherwise(F.array().cast("array<int>"))
+    return F.transform(each, lambda k: F.xxhash64(F.lit("block"), "path", k, F.slice("t", start(k) + 1, start(k + 1) - start(k))))
+
+
+def _learned(lines: DataFrame, least: int) -> DataFrame:
+    """row, doc_id, pos, source, template: the template that these lines of its leaf teach for a line.
 
     A token is constant where `least` or more documents have it at this place of the leaf, else the place is a field. Lines with more
     fields than a template may leave open get no template."""
-    rows = live.where(_run() > 0).select("row", "doc_id", "pos", "source", "n", "path", F.posexplode("t").alias("place", "token")).where(F.col("place") >= LEAD)
+    rows = lines.select("row", "doc_id", "pos", "source", "n", "path", F.posexplode("t").alias("place", "token")).where(F.col("place") >= LEAD)
     rows = rows.select("row", "doc_id", "pos", "source", "n", "path", "place", F.xxhash64("path", "place", "token").alias("key"))
     constant = rows.select("key", "source").distinct().groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("key", F.col("key").alias("known"))
     # written first, so that Spark knows its size and sends it to the rows where it is small
@@ -64,17 +80,19 @@ def recurring(docs: DataFrame, least: int = 5, tokens: int = 1, keep_first: bool
     `near_copies_once` documents count once if the least hash of their other lines agrees, as it does for most edited copies: their lines
     stay for near-dedup. Lines under `tokens` tokens stay; those of fewer than 1 / OPEN tokens recur in their exact form only. With
     `keep_first` the smallest document with a template keeps its lines. The tree prunes: only lines whose leaf recurs are hashed and
-    tried with their templates."""
+    tried with their templates, and a leaf learns from the lines that share a block of tokens with `least` or more documents, as all
+    lines of a recurring template do."""
     leaves = _placed(docs, tokens, near_copies_once).select("path", "source").distinct().groupBy("path").agg(F.count("*").alias("c")).where(F.col("c") >= least)
     placed = _placed(docs, tokens, near_copies_once).join(stored(leaves.select("path"), "leaves"), "path")
     live = cut(placed.select("row", "doc_id", "pos", "source", "n", "path", _masked(F.col("words")).alias("t")))
     n, t, run = F.col("n"), F.col("t"), _run()
     runs = F.when(run > 0, F.sequence(F.lit(0), F.ceil((n - LEAD) / run).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     opened = F.transform(runs, lambda k: F.xxhash64(n, k, F.slice(t, 1, k * run + LEAD), F.slice(t, (k + 1) * run + LEAD + 1, n)))
-    forms = live.select("row", "doc_id", "pos", "source", F.explode(F.concat(F.array(F.xxhash64(n, t)), opened)).alias("template"))
-    forms = cut(forms.unionByName(_learned(live, least)))
-    counted = forms.groupBy("template", "source").agg(F.min("doc_id").alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
-    drop = forms.join(counted.where(F.col("c") >= least).select("template", "first"), "template")
+    marked = lambda forms, drops: F.transform(forms, lambda x: F.struct(x.alias("template"), F.lit(drops).alias("drops")))
+    forms = F.explode(F.concat(marked(F.concat(F.array(F.xxhash64(n, t)), opened), True), marked(_blocks(), False))).alias("x")
+    found = cut(_recurs(live.select("row", "doc_id", "pos", "source", forms).select("row", "doc_id", "pos", "source", "x.*"), least).select("row", "doc_id", "pos", "first", "drops"))
+    grown = live.join(found.where("not drops").select("row", "pos").distinct(), ["row", "pos"], "left_semi")
+    drop = found.where("drops").drop("drops").unionByName(_recurs(cut(_learned(grown, least)), least).select("row", "doc_id", "pos", "first"))
     if keep_first:
         drop = drop.where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return drop.select("row", "pos").distinct()

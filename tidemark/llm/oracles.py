@@ -3,7 +3,8 @@
 ORACLE: dict[str, str] = {}
 
 # lines: words with a digit are fields; a template is the exact token list, one with an open run behind two leading tokens,
-# or one that is open where no token stands in five documents with its leaf (token count and leading tokens); equal texts count once
+# or one that is open where its token stands in fewer than five documents with its leaf (token count and leading tokens), as far as their lines
+# share one of run + 1 blocks of tokens with five documents; equal texts count once
 ORACLE["op2_line_templates"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (
@@ -21,8 +22,13 @@ x AS (
     CASE WHEN run > 0 AND n > 2 THEN list_transform(range(CAST(ceil((n - 2) / run) AS INT)),
       lambda k: n || '|' || k || '|' || array_to_string(w[1:k * run + 2], ' ') || chr(3) || array_to_string(w[(k + 1) * run + 3:n], ' ')) ELSE [] END)) AS template
   FROM live),
+bl AS (
+  SELECT doc_id, pos, source, unnest(list_transform(range(run + 1), lambda k: path || '|' || k || '|' ||
+    array_to_string(w[3 + k * (n - 2) // (run + 1):2 + (k + 1) * (n - 2) // (run + 1)], ' '))) AS block FROM live WHERE run > 0 AND n > 2),
+grown AS (
+  SELECT DISTINCT doc_id, pos FROM bl WHERE block IN (SELECT block FROM bl GROUP BY block HAVING count(DISTINCT source) >= 5)),
 tk AS (
-  SELECT doc_id, pos, source, path, run, unnest(w) AS tok, generate_subscripts(w, 1) AS place FROM live WHERE run > 0 AND n > 2),
+  SELECT doc_id, pos, source, path, run, unnest(w) AS tok, generate_subscripts(w, 1) AS place FROM live JOIN grown USING (doc_id, pos)),
 const AS (SELECT path, place, tok, true AS known FROM tk GROUP BY path, place, tok HAVING count(DISTINCT source) >= 5),
 learned AS (
   SELECT doc_id, pos, source, 'l|' || path || '|' || string_agg(CASE WHEN place > 2 AND known IS NULL THEN chr(4) ELSE tok END, ' ' ORDER BY place) AS template
