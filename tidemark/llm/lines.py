@@ -45,7 +45,8 @@ def _placed(docs: DataFrame, tokens: int, near_copies_once: bool) -> DataFrame:
 def _recurs(forms: DataFrame, least: int) -> DataFrame:
     """forms whose template stands in `least` or more documents, with the smallest document that has it as `first`."""
     counted = forms.groupBy("template", "source").agg(F.min("doc_id").alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
-    return forms.join(counted.where(F.col("c") >= least).select("template", "first"), "template")
+    # written first, so that Spark knows its size: the forms are shuffled for this join only where many templates recur
+    return forms.join(stored(counted.where(F.col("c") >= least).select("template", "first"), "templates"), "template")
 
 
 def _blocks() -> Column:
@@ -63,9 +64,9 @@ def _learned(lines: DataFrame, least: int) -> DataFrame:
     fields than a template may leave open get no template."""
     rows = lines.select("row", "doc_id", "pos", "source", "n", "path", F.posexplode("t").alias("place", "token")).where(F.col("place") >= LEAD)
     rows = rows.select("row", "doc_id", "pos", "source", "n", "path", "place", F.xxhash64("path", "place", "token").alias("key"))
-    constant = rows.select("key", "source").distinct().groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("key", F.col("key").alias("known"))
+    constant = rows.select("key", "source").distinct().groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("key")
     # written first, so that Spark knows its size and sends it to the rows where it is small
-    seen = rows.join(stored(constant, "constants"), "key", "left")
+    seen = rows.join(stored(constant, "constants").withColumn("known", F.col("key")), "key", "left")
     # repeated rows share row and pos, and count once in the set
     whole = seen.groupBy("row", "pos", "source", "n", "path").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("place", "known"))).alias("places"))
     fields = F.size(F.filter("places", lambda x: x["known"].isNull()))
