@@ -302,3 +302,22 @@ def test_csv_date_stands_in_for_timestamp(spark, tmp_path):
     (tmp_path / "a.csv").write_text("event_id,location_id,timestamp,date,occupancy,capacity\n1,a,2024-01-01 05:00:00,,1.5,10\n2,a,,2024-01-02,2.5,10\n")
     got = readers.read_csv(spark, str(tmp_path / "a.csv")).orderBy("event_id").collect()
     assert [r["timestamp"] for r in got] == [dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 2)]
+
+
+def test_poisson_draws_equal_the_search_in_the_distribution():
+    u = np.concatenate([np.random.default_rng(1).integers(0, 1 << 53, 50_000, dtype="uint64"), evaluation._POISSON_53[:11], evaluation._POISSON_53[:11] + np.uint64(1), np.array([0, (1 << 53) - 1], "uint64")])
+    want = np.searchsorted(evaluation._POISSON, u.astype("float64") / float(1 << 53))
+    assert evaluation._draws(u.reshape(2, -1)).ravel().tolist() == want.tolist() and want.max() > 8
+
+
+def test_one_order_shuffles_all_columns(spark, monkeypatch):
+    """The order of the rows is found once, not per column; each column is the one `shuffled` gives."""
+    df = spark.createDataFrame([(i, float(i), float(-i)) for i in range(50)], "id long, a double, b double")
+    both = {r["id"]: (r["__new_a"], r["__new_b"]) for r in learning.with_shuffled(df, ["a", "b"], "id").collect()}
+    assert {k: v[0] for k, v in both.items()} == {r["id"]: r["a"] for r in learning.shuffled(df, "a", "id").collect()}
+    assert sorted(v[0] for v in both.values()) == sorted(float(i) for i in range(50)) and all(a == -b for a, b in both.values()) and any(k != v[0] for k, v in both.items())
+    seen, codes = [], learning.sorted_codes
+    monkeypatch.setattr(learning, "sorted_codes", lambda *a: seen.append(a) or codes(*a))
+    model = learning.fit(df.withColumn("y", F.col("a") * 2), "linear", ["a", "b"], [], "y")
+    out = learning.permutation_importance(model, df.withColumn("y", F.col("a") * 2), ["a", "b"], "id", "y").collect()
+    assert len(out) == 2 and len(seen) == 2

@@ -141,21 +141,27 @@ def impurity_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
 
-def shuffled(df: DataFrame, col: str, key: str, seed: int = 42) -> DataFrame:
-    """`col` permuted over the rows: the value of the row with the same position in another order."""
+def with_shuffled(df: DataFrame, cols: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+    """The rows with `__new_<col>` for each column: the value of the row with the same position in another order."""
     home = sorted_codes(df, key, "__i")
-    other = df.select(F.concat_ws("|", F.xxhash64(key, F.lit(seed)).cast("string"), F.col(key).cast("string")).alias("__h"), F.col(col).alias("__new"))
-    away = other.join(sorted_codes(other, "__h", "__i"), "__h").select("__i", "__new")
-    return df.join(home, key).join(away, "__i").withColumn(col, F.col("__new")).drop("__i", "__new")
+    other = df.select(F.concat_ws("|", F.xxhash64(key, F.lit(seed)).cast("string"), F.col(key).cast("string")).alias("__h"), *[F.col(c).alias(f"__new_{c}") for c in cols])
+    away = other.join(sorted_codes(other, "__h", "__i"), "__h").drop("__h")
+    return df.join(home, key).join(away, "__i").drop("__i")
+
+
+def shuffled(df: DataFrame, col: str, key: str, seed: int = 42) -> DataFrame:
+    """`col` permuted over the rows."""
+    return with_shuffled(df, [col], key, seed).withColumn(col, F.col(f"__new_{col}")).drop(f"__new_{col}")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str], key: str, label: str) -> DataFrame:
     """Increase of the RMSE when a column is permuted."""
     kept = cut(df)
     base = regression_metrics(predict(model, kept), actual=label, names=["rmse"]).select(F.col("rmse").alias("base"))
-    out = None
+    # one order of the rows serves all columns
+    mixed, out = cut(with_shuffled(kept, cols, key)), None
     for c in cols:
-        m = regression_metrics(predict(model, shuffled(kept, c, key)), actual=label, names=["rmse"])
+        m = regression_metrics(predict(model, mixed.withColumn(c, F.col(f"__new_{c}"))), actual=label, names=["rmse"])
         one = with_row(m, base, "__b").select(F.lit(c).alias("feature"), (F.col("rmse") - F.col("__b.base")).alias("importance"))
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.col("importance").desc())
@@ -256,6 +262,7 @@ def screen_categories(df: DataFrame, cols: Sequence[str], label: str, is_train:
 
 def screen_groups(train: DataFrame, test: DataFrame, groups: dict[str, tuple[Sequence[str], Sequence[str]]], label: str, **params) -> DataFrame:
     """Random forest per group of variables (numeric, categorical)."""
+    train, test = cut(train), cut(test)
     out = None
     for name, (numeric, categorical) in groups.items():
         m = regression_metrics(predict(fit(train, "forest", numeric, categorical, label, **params), test), actual=label, names=["rmse", "r2"])
