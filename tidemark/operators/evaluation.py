@@ -115,8 +115,8 @@ def bootstrap_interval(df: DataFrame, ids: Sequence[str], actual: str = "actual"
         for pdf in batches:
             h = pdf["h"].to_numpy().astype("int64").view("uint64")
             body = np.stack([np.ones(len(pdf)), pdf["sq"].to_numpy(), pdf["ab"].to_numpy()], axis=1)
-            for lo in range(0, len(h), 128):  # blocks that stay in the processor's cache
-                total += _draws(_mix(h[lo:lo + 128][None, :] ^ salt[:, None]) >> np.uint64(11)).astype("float64") @ body[lo:lo + 128]
+            for lo in range(0, len(h), 12):  # blocks that stay in the processor's cache
+                total += _draws(_mix(h[lo:lo + 12][None, :] ^ salt[:, None]) >> np.uint64(11)).astype("float64") @ body[lo:lo + 12]
         yield pd.DataFrame({"b": np.arange(replicates), "n": total[:, 0], "sq": total[:, 1], "ab": total[:, 2]})
 
     per = rows.mapInPandas(sums, "b long, n double, sq double, ab double").groupBy("b").agg(
