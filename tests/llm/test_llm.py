@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import numpy as np
@@ -404,6 +405,30 @@ def test_partners_of_one_text_are_dealt_to_several_tasks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 99]
 
 
+def test_near_duplicates_are_proposed_by_the_gray_index(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    prints = base + [b ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for b in base[:30]] + base[:10]
+    rows = [(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)]
+    got = {tuple(r) for r in near.fingerprinted(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    within = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3
+    # nodes 60 to 89 differ from their base in two bits at most, nodes 90 to 99 are copies
+    assert all(u < v and within(u, v) for u, v in got)
+    assert {v for _, v in got} == set(range(60, 100))
+
+
+def test_near_dedup_keeps_one_of_repeated_rows_and_shuffles_no_whole_rows(spark):
+    texts = [" ".join(f"t{k}w{j}" for j in range(30)) for k in range(6)]
+    rows = [*enumerate(texts), (7, texts[0]), (1, texts[1]), (1, texts[1])]
+    got = near.first_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 3, 4, 5]
+    few = near.first_of_each(spark.createDataFrame([(k, texts[0]) for k in range(9)] + [(9, texts[2])], "doc_id int, text string"))
+    assert sorted(r["doc_id"] for r in few.collect()) == [0, 9]
+    once = near.first_of_each(spark.createDataFrame([*enumerate(texts), (7, texts[0])], "doc_id int, text string"))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert once.count() == 6 and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 # 6, 9 ---------------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by shingle similarity: a prefix-filter join over shingles finds all pairs, exact shingle sets decide."""
+"""Near-duplicates by shingle similarity: a SimHash index links near copies, a prefix-filter join over shingles finds all other pairs, exact shingle sets decide."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidemark.llm.blocks import attach, buffers
 from tidemark.llm.components import components
 from tidemark.llm.frames import cut, stored
-from tidemark.llm.simhash import SEED
+from tidemark.llm.simhash import SEED, fingerprint, links
 
 #: Documents drawn to see which shingles are common, and how many of these are known; both only order the shingles and lose no pair.
 SAMPLE, KNOWN = 4000, 200_000
@@ -163,6 +163,16 @@ def ahead(nodes: DataFrame) -> DataFrame:
     return _met(entries, lambda batches: _grouped(batches, ["token", "node", "size"], flush))
 
 
+def fingerprinted(nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) that SimHash proposes: nodes of one fingerprint with its first node, and the first nodes of fingerprints that the
+    Gray-order index links. nodes: node, fp."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.select("fp", F.col("node").alias("v")).join(first, "fp").select(F.col("first").alias("u"), "v")
+    side = lambda c, out: first.select(F.col("fp").alias(c), F.col("first").alias(out))
+    apart = links(first).distinct().join(side("u", "a"), "u").join(side("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return same.unionByName(apart).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def unlinked(nodes: DataFrame, similarity: float) -> DataFrame:
     """All pairs (u, v) of nodes with different roots that may be similar. nodes: node, root, size, prefix."""
     entries = nodes.select("node", "root", "size", F.posexplode("prefix").alias("pos", "token"))
@@ -209,8 +219,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents, less all but one of each near-duplicate group: the one with the smallest id (ties by a hash of the text) stays.
 
     Two texts are linked when the Jaccard similarity of their sets of `words`-word shingles reaches `similarity`; a group is what links
-    reach. Equal sets are one node. All pairs of nodes that share enough shingles of their prefixes and are not linked yet are decided by
-    their sets (64 bits a shingle), so no link is lost. All columns of docs stay. Of equal rows one stays.
+    reach. Equal sets are one node. SimHash fingerprints within three bits, found by the Gray-order index, and neighbours under common
+    shingles are tried first; then all pairs of nodes that share enough shingles of their prefixes and are not linked yet. All are decided
+    by their sets (64 bits a shingle), so no link is lost. All columns of docs stay. Of equal rows one stays.
     Texts without words (null ones too) are one group. Documents without an id are kept only where no other document of their group has one.
     An empty table gives no rows."""
     text = F.col(f"`{text_col}`").cast("string")
@@ -224,19 +235,36 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def make(raw: bytes):
         hashes = shingles(raw, words)
-        return node_of(hashes), len(hashes), prefix(hashes, similarity, *known.value).view(np.int64)
+        return node_of(hashes), len(hashes), int(np.uint64(fingerprint(raw)).view(np.int64)), prefix(hashes, similarity, *known.value).view(np.int64)
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     marked = _per_text(base.select("__text", place.alias("place")), "__text", fields, make)
-    nodes = marked.groupBy("node").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = marked.groupBy("node").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("prefix").alias("prefix"))
     nodes = cut(nodes.withColumn("key", F.xxhash64("place.name", "place.none", "place.tie")))
     texts = base.select(F.xxhash64(*keys).alias("key"), "__text")
 
-    first = cut(alike(cut(ahead(nodes)), nodes, texts, words, similarity))
-    near = components(first)
-    rooted = nodes.drop("place", "key").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = cut(alike(cut(fingerprinted(nodes).unionByName(ahead(nodes)).distinct()), nodes, texts, words, similarity))
+    # written, so that Spark knows its size and sends it to the nodes where it is small
+    near = stored(components(first), "near")
+    rooted = nodes.select("node", "size", "prefix").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = alike(cut(unlinked(rooted, similarity)), nodes, texts, words, similarity)
     linked = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
-    best = nodes.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place"))
-    kept = cut(best.select(F.col("place.name").alias("__a"), F.col("place.none").alias("__b"), F.col("place.tie").alias("__c")))
-    return docs.withColumns(named).join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    best = nodes.select("node", "place").join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place"))
+    kept = best.select(F.col("place.name").alias("__a"), F.col("place.none").alias("__b"), F.col("place.tie").alias("__c"), F.lit(True).alias("stays"))
+    return _one_of_each(docs.withColumns(named), kept, keys).drop(*keys)
+
+
+def _one_of_each(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key in `kept`. Whole rows are shuffled only where most keys repeat or a list of keys is too large to send: keys that
+    stand once need no comparison of rows, and the shorter list, of those or of the others, meets the rows. kept: keys, stays."""
+    told = rows.groupBy(*keys).agg(F.count("*").alias("n")).join(kept, keys, "left")
+    told = cut(told.select(*keys, F.when(F.col("stays").isNull(), "gone").when(F.col("n") > 1, "again").otherwise("once").alias("state")))
+    many = {r["state"]: r["count"] for r in told.groupBy("state").count().collect()}
+    chosen = lambda cond: stored(told.where(cond).select(*keys), "chosen")
+    if many.get("once", 0) < many.get("gone", 0) + many.get("again", 0):
+        out = rows.join(chosen("state = 'once'"), keys, "left_semi")
+    else:
+        out = rows.join(chosen("state <> 'once'"), keys, "left_anti")
+    if many.get("again"):
+        out = out.unionByName(rows.join(chosen("state = 'again'"), keys, "left_semi").dropDuplicates(keys))
+    return out
