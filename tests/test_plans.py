@@ -358,3 +358,36 @@ def test_rows_without_key_or_time_stay(spark, both):
     assert set(got) == {1, 2, 3, 4} and got[3] == 2.0
     assert series.fill_forward_back(df, ["key"], "t", ["v"], ["id"]).count() == 4
     assert {r["key"]: r["n"] for r in ordered.quantiles(df, "v", [0.5], ["key"]).collect()} == {"a": 2, None: 2}
+
+
+def test_products_by_place_do_not_pair_moments_and_intervals(spark, both, monkeypatch):
+    rng = random.Random(6)
+    spots = [1.0, 2.0, None]
+    left = [(i, (T0 + pd.Timedelta(minutes=rng.randrange(300))).to_pydatetime(), rng.choice(spots)) for i in range(400)] + [(400, None, 1.0)]
+    factors = [0.3, -0.4, -1.5, None, 2.0]
+    ivs = []
+    for k in range(80):
+        s = T0 + pd.Timedelta(minutes=rng.randrange(300))
+        ivs.append((s.to_pydatetime(), (s + pd.Timedelta(minutes=rng.randrange(-5, 60))).to_pydatetime(), rng.choice(factors)))
+    # late on, a zero, an infinite factor and one that is no number
+    late = [T0 + pd.Timedelta(minutes=m) for m in (400, 401, 402, 403, 404)]
+    ivs += [(late[0].to_pydatetime(), late[2].to_pydatetime(), 0.0), (late[1].to_pydatetime(), late[4].to_pydatetime(), math.inf), (late[3].to_pydatetime(), late[3].to_pydatetime(), math.nan)]
+    left += [(500 + k, t.to_pydatetime(), 1.0) for k, t in enumerate(late)]
+    asks = spark.createDataFrame(left, "id int, t timestamp, lat double")
+    # a factor that the key changes: it counts at the second place only
+    factor = F.when(F.col("lat") > 1.5, F.col("f") * F.col("lat")).otherwise(F.col("f"))
+    spans = spark.createDataFrame(ivs, "s timestamp, e timestamp, f double")
+    monkeypatch.setattr(timejoin, "_paired", lambda *a: pytest.fail("pairs of moments and intervals"))
+    got = {r["id"]: r["p"] for r in timejoin.cover_product(asks, spans, "t", "s", "e", factor, "p", ["lat"]).collect()}
+    assert len(got) == len(left)
+    for i, t, lat in left:
+        hit = [] if t is None or lat is None else [f * (2.0 if lat > 1.5 else 1.0) for s, e, f in ivs if f is not None and s <= t <= e]
+        want = math.prod(hit)
+        assert math.isnan(got[i]) if math.isnan(want) else got[i] == pytest.approx(want, rel=1e-9), (i, got[i], want)
+    assert got[400] == 1.0 and got[500] == 0.0 and math.isnan(got[501]) and got[504] == math.inf
+
+
+def test_products_of_many_places_pair_moments_and_intervals(spark):
+    left = spark.range(30).select("id", F.lit(T0).cast("timestamp").alias("t"), F.col("id").cast("double").alias("lat"))
+    spans = spark.createDataFrame([(T0.to_pydatetime(), T0.to_pydatetime(), 2.0)], "s timestamp, e timestamp, f double")
+    assert {r["p"] for r in timejoin.cover_product(left, spans, "t", "s", "e", F.col("f"), "p", ["lat"]).collect()} == {2.0}

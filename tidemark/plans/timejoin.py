@@ -7,10 +7,13 @@ location does not enter the candidate step.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.plans.series import with_known
+from tidemark.plans.series import running_counts, with_known
+from tidemark.plans.slices import needed
+from tidemark.session import cut
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, time: str, right_time: str, cols: Sequence[str],
@@ -70,15 +73,65 @@ def running_cover_product(left: DataFrame, intervals: DataFrame, time: str, star
     return out.drop("__found")
 
 
+#: Steps of a logarithm's fixed point: sums are exact, so what enters and leaves again is gone, in whatever order rows come.
+FIXED = 1e15
+
+
 def cover_product(left: DataFrame, intervals: DataFrame, time: str, start: str, end: str, factor: Column,
                   name: str, keys: Sequence[str] = (), bucket: str = "hour") -> DataFrame:
     """Add `name`: the product of `factor` over all intervals with start <= time <= end (1 if none).
-    `factor` may use the columns of both sides; `keys` are the left columns it needs."""
-    asks = left.select(time, *keys).where(F.col(time).isNotNull()).distinct()
-    step = F.expr(f"interval 1 {bucket}")
-    hours = F.sequence(F.date_trunc(bucket, start), F.date_trunc(bucket, end), step)
-    spread = intervals.where(F.col(start) <= F.col(end)).withColumn("__bucket", F.explode(hours))
-    hits = asks.withColumn("__bucket", F.date_trunc(bucket, time)).join(spread, "__bucket")
-    hits = hits.where(F.col(time).between(F.col(start), F.col(end)))
-    product = hits.groupBy(time, *keys).agg(F.product(factor).alias(name))
+    `factor` may use the columns of both sides; `keys` are the left columns it needs.
+
+    Pairs of a time and the intervals that share its bucket are formed only if they are fewer than the pairs of keys and intervals.
+    Else an interval multiplies at each key from its start and divides after its end, so no time meets an interval."""
+    asks = left.select(time, *keys).where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (time, *keys)])).distinct()
+    spread = intervals.where(F.col(start) <= F.col(end))
+    times, places, many = _sizes(asks, spread, time, start, end, keys, bucket)
+    if times <= 2 * places * many:
+        product = _paired(asks, spread, time, start, end, factor, name, keys, bucket)
+    else:
+        product = _carried(cut(asks), spread, time, start, end, factor, name, keys)
     return left.join(product, [time, *keys], "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+
+
+def _sizes(asks: DataFrame, spread: DataFrame, time: str, start: str, end: str, keys: Sequence[str], bucket: str) -> tuple[int, int, int]:
+    """Pairs of asks and intervals in one bucket, different keys, intervals. The pairs come from counts per bucket."""
+    step = F.expr(f"interval 1 {bucket}")
+    edge = lambda at, n: F.struct(at.alias("b"), F.lit(n).cast("bigint").alias("n"))
+    edges = spread.select(F.explode(F.array(edge(F.date_trunc(bucket, start), 1), edge(F.date_trunc(bucket, end) + step, -1))).alias("x"))
+    flow = edges.select("x.b", "x.n", F.lit(0).cast("bigint").alias("a")).unionByName(asks.select(F.date_trunc(bucket, time).alias("b"), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("a")))
+    # one row per bucket
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    per = flow.groupBy("b").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).withColumn("n", F.sum("n").over(upto))
+    times = per.agg(F.sum(F.col("n").cast("double") * F.col("a")).alias("s")).first()["s"] or 0
+    return int(times), asks.select(*keys).distinct().count() if keys else 1, spread.count()
+
+
+def _paired(asks: DataFrame, spread: DataFrame, time: str, start: str, end: str, factor: Column, name: str, keys: Sequence[str], bucket: str) -> DataFrame:
+    hours = F.sequence(F.date_trunc(bucket, start), F.date_trunc(bucket, end), F.expr(f"interval 1 {bucket}"))
+    hits = asks.withColumn("__bucket", F.date_trunc(bucket, time)).join(spread.withColumn("__bucket", F.explode(hours)), "__bucket")
+    return hits.where(F.col(time).between(F.col(start), F.col(end))).groupBy(time, *keys).agg(F.product(factor).alias(name))
+
+
+def _carried(asks: DataFrame, spread: DataFrame, time: str, start: str, end: str, factor: Column, name: str, keys: Sequence[str]) -> DataFrame:
+    """The product at each ask from sums per key over the edges of intervals: of logarithms, and of factors that have none."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    deals = 4 * int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = asks.select(*keys).distinct().withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    dealt = spread.withColumn("__deal", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread.columns]), F.lit(deals)).cast("int"))
+    f, size = F.col("__f"), F.abs(F.col("__f"))
+    each = dealt.join(places, "__deal").select(*keys, us(start).alias("__from"), (us(end) + 1).alias("__to"), factor.cast("double").alias("__f")).where(f.isNotNull())
+    plain = ~F.isnan(f) & (size > 0) & (size < float("inf"))
+    parts = {"__log": F.when(plain, F.round(F.log(size) * FIXED)).otherwise(0.0), "__neg": f < 0, "__zero": f == 0, "__nan": F.isnan(f), "__inf": size == float("inf")}
+    kinds = {c: "decimal(20, 0)" if c == "__log" else "bigint" for c in parts}
+    each = each.select(*keys, "__from", "__to", *[x.cast("bigint").cast(kinds[c]).alias(c) for c, x in parts.items()])
+    edge = lambda at, sign: F.struct(F.col(at).alias("__at"), *[(F.col(c) * sign).cast(k).alias(c) for c, k in kinds.items()])
+    edges = each.select(*keys, F.explode(F.array(edge("__from", 1), edge("__to", -1))).alias("x")).select(*keys, "x.*", F.lit(False).alias("__ask"))
+    flow = edges.unionByName(asks.select(*keys, us(time).alias("__at"), *[F.lit(0).cast(k).alias(c) for c, k in kinds.items()], F.lit(True).alias("__ask")))
+    flow = cut(flow.groupBy(*keys, "__at").agg(*[F.sum(c).alias(c) for c in kinds], F.bool_or("__ask").alias("__ask")))
+    r = running_counts(flow, keys, "__at", list(kinds), needed(flow, keys), F.col("__ask"))
+    sign = F.when(F.col("__neg") % 2 == 0, 1.0).otherwise(-1.0)
+    product = (F.when((F.col("__nan") > 0) | ((F.col("__inf") > 0) & (F.col("__zero") > 0)), float("nan")).when(F.col("__zero") > 0, 0.0)
+               .when(F.col("__inf") > 0, sign * float("inf")).otherwise(sign * F.exp(F.col("__log").cast("double") / FIXED)))
+    found = r.select(*keys, F.col("__at").alias("__us"), product.alias(name))
+    return asks.withColumn("__us", us(time)).join(found, [*keys, "__us"]).select(time, *keys, name)
