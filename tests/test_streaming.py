@@ -97,3 +97,22 @@ def test_repeated_batch_counts_once(spark, tmp_path):
     jobs.write_batch(df, str(tmp_path / "t"), 0)
     jobs.write_batch(df, str(tmp_path / "t"), 0)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_repair_finds_its_fills_once_and_spreads_its_batches(spark, tmp_path, monkeypatch):
+    at, version, made = [None, 0.2, 0.4, 0.9], ["v2", None, "v1", "v2"], ("L", "2024-01-01 00:00:00", "2024-01-01 01:00:00")
+    all_rows = [(i, at[i % 4], *made, version[i % 4]) for i in range(12)]
+    for k in range(3):
+        part = spark.createDataFrame(all_rows[4 * k:4 * k + 4], "record_id int, predicted_occupancy double, location_id string, prediction_timestamp string, predicted_for_timestamp string, model_version string")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = jobs.read_files(spark, str(tmp_path / "in"), part.schema, 1)
+    monkeypatch.setattr(jobs, "TASK_ROWS", 1)
+    known = spark.createDataFrame([(0.3, "v7"), (0.6, "v7"), (0.6, "v8")], "predicted_occupancy double, model_version string")
+    medians, parts = [], []
+    median_of, validate = jobs.repair.median_of, jobs.quality.validate
+    monkeypatch.setattr(jobs.repair, "median_of", lambda *a: medians.append(a) or median_of(*a))
+    monkeypatch.setattr(jobs.quality, "validate", lambda batch, kind: parts.append(batch.rdd.getNumPartitions()) or validate(batch, kind))
+    jobs.validate_and_load(rows, "prediction", str(tmp_path / "good"), str(tmp_path / "bad"), fix=True, as_of="2024-02-01 00:00:00", known=known)
+    got = {r["record_id"]: (r["predicted_occupancy"], r["model_version"]) for r in spark.read.parquet(str(tmp_path / "good")).collect()}
+    assert got == {i: (0.6 if p is None else p, v or "v7") for i, p, *_, v in all_rows}
+    assert len(medians) == 1 and parts == [min(4, spark.sparkContext.defaultParallelism)] * 3

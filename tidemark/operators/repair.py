@@ -67,23 +67,32 @@ def fix_features(df: DataFrame) -> DataFrame:
     return out.drop("__at", "__med", "__dow", "__hod")
 
 
-def fix_predictions(df: DataFrame, as_of: str, default_version: str = "v1.0", known: DataFrame | None = None) -> DataFrame:
-    """Repair prediction records; `as_of` stands for a missing prediction time. The median and the most frequent version that stand
-    for missing values are those of `known`, by default of the records themselves."""
-    inside = lambda x: x.withColumn("predicted_occupancy", clip(F.col("predicted_occupancy"), 0.0, 1.0))
-    d, known = inside(df), df if known is None else known
-    d = with_row(with_row(d, median_of(inside(known), "predicted_occupancy"), "__med"), mode_of(known, "model_version"), "__ver")
+def _inside(df: DataFrame) -> DataFrame:
+    return df.withColumn("predicted_occupancy", clip(F.col("predicted_occupancy"), 0.0, 1.0))
+
+
+def prediction_fills(known: DataFrame) -> DataFrame:
+    """One row: the median and the most frequent version that stand for missing values of prediction records."""
+    one = known.sparkSession.range(1).select(F.lit(0).alias("one"))
+    one = with_row(with_row(one, median_of(_inside(known), "predicted_occupancy"), "med"), mode_of(known, "model_version"), "ver")
+    return one.select(F.col("med.m").alias("median"), F.col("ver.m").alias("version"))
+
+
+def fix_predictions(df: DataFrame, as_of: str, default_version: str = "v1.0", fills: DataFrame | None = None) -> DataFrame:
+    """Repair prediction records; `as_of` stands for a missing prediction time. What stands for missing values comes from `fills`
+    (see `prediction_fills`), by default of the records themselves."""
+    d = with_row(_inside(df), prediction_fills(df) if fills is None else fills, "__fill")
     made = F.coalesce(rules.parse_time(F.col("prediction_timestamp")), F.lit(as_of).cast("timestamp"))
     meant = rules.parse_time(F.col("predicted_for_timestamp"))
     out = d.withColumns({
-        "predicted_occupancy": F.coalesce("predicted_occupancy", "__med.m"),
+        "predicted_occupancy": F.coalesce("predicted_occupancy", "__fill.median"),
         "prediction_timestamp": made,
         "predicted_for_timestamp": F.coalesce(meant, made + F.expr("interval 1 hour")),
-        "model_version": F.coalesce(F.col("model_version"), F.col("__ver.m"), F.lit(default_version)),
+        "model_version": F.coalesce(F.col("model_version"), F.col("__fill.version"), F.lit(default_version)),
     })
     if "confidence" not in df.columns:
         out = out.withColumn("confidence", confidence(F.col("predicted_occupancy")))
-    return out.drop("__med", "__ver")
+    return out.drop("__fill")
 
 
 def fix_raw(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.functions import rules
 from tidemark.operators import features as feats
 from tidemark.operators import quality, repair
+from tidemark.session import cut
 from tidemark.sources.tables import Table
 from tidemark.sources.writers import scratch
 
@@ -153,6 +154,9 @@ def score_arrivals(stream: DataFrame) -> DataFrame:
 # The time columns of the records.
 TIMES = {"feature": ["timestamp"], "raw": ["timestamp"], "prediction": ["prediction_timestamp", "predicted_for_timestamp"]}
 
+#: Rows of a micro-batch per task, from which on it is spread over the cores.
+TASK_ROWS = 250_000
+
 
 def validate_and_load(stream: DataFrame, kind: str, loaded: str, aside: str, fix: bool = False, as_of: str | None = None, known: DataFrame | None = None) -> None:
     """Validate each micro-batch; valid rows are loaded, invalid ones set aside, or repaired and loaded.
@@ -161,10 +165,15 @@ def validate_and_load(stream: DataFrame, kind: str, loaded: str, aside: str, fix
     result does not depend on how files arrive (without it, from the micro-batch, as for the other kinds)."""
     if kind == "prediction" and fix and as_of is None:
         raise ValueError("repaired predictions need as_of")
-    mend = {"feature": repair.fix_features, "raw": repair.fix_raw, "prediction": lambda d: repair.fix_predictions(d, as_of, known=known)}
+    # found once and written, as a batch would read the whole table for it
+    fills = cut(repair.prediction_fills(known)) if kind == "prediction" and fix and known is not None else None
+    mend = {"feature": repair.fix_features, "raw": repair.fix_raw, "prediction": lambda d: repair.fix_predictions(d, as_of, fills=fills)}
+    cores = stream.sparkSession.sparkContext.defaultParallelism
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        v = quality.validate(batch, kind).persist()
+        # a batch is a few files, and a file may be one task
+        parts = min(cores, -(-batch.count() // TASK_ROWS))
+        v = quality.validate(batch.repartition(parts) if parts > 1 else batch, kind).persist()
         bad = F.size("reasons") > 0
         write_batch(v.where(bad), aside, batch_id)
         if fix:
