@@ -95,9 +95,10 @@ class Table:
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def _commit(self, old: dict, parts: dict[str, list[str]], token: tuple[str, int] | None) -> dict:
-        """Create the next version's file: the moment of the change."""
-        new = old | {"version": max([old["version"], *self.versions()]) + 1, "parts": {p: f for p, f in parts.items() if f}}
+    def _commit(self, old: dict, parts: dict[str, list[str]], token: tuple[str, int] | None, seen: Sequence[int] = ()) -> dict:
+        """Create the next version's file: the moment of the change. seen: the versions listed before `old` was read, so that a version
+        made since then has the same number and one of the two writers starts again."""
+        new = old | {"version": max([old["version"], *seen]) + 1, "parts": {p: f for p, f in parts.items() if f}}
         if token:
             new["done"] = old["done"] | {token[0]: token[1]}
         self.files.create(f"versions/{new['version']:010d}.json", json.dumps(new))
@@ -107,11 +108,12 @@ class Table:
         """Run a step on the newest version until its result can be committed. A token (stream, batch) is applied once."""
         for attempt in range(attempts):
             try:
+                seen = self.versions()
                 old = self.snapshot()
                 if token and old["done"].get(token[0], -1) >= token[1]:
                     return old
                 parts = step(old)
-                return old if parts is None and not token else self._commit(old, old["parts"] if parts is None else parts, token)
+                return old if parts is None and not token else self._commit(old, old["parts"] if parts is None else parts, token, seen)
             except Conflict:
                 if attempt + 1 == attempts:
                     raise
