@@ -199,6 +199,16 @@ def test_ties_of_the_first_document(spark):
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None and "same short" in r["text"]) == [0, 0]
 
 
+def test_leaves_with_many_constants_and_one_plan_at_any_size(spark, monkeypatch):
+    made = [f"own {k}{k} words\nthis page was written for {w} by the best team of all\nseen\ton  day {k} by {w}{w} here" for k, w in enumerate(["anna", "bob", "carl", "dora", "emil", "fay"])]
+    known = dropped(spark, made)
+    monkeypatch.setattr(lines, "CARRIED", 3)
+    assert dropped(spark, made) == known and min(known) >= 1
+    # a plan that changes with the size of the lists would shuffle the texts only once they are many
+    plan = lines.line_report(spark.createDataFrame(list(enumerate(made)), "doc_id int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_lines_of_odd_rows(odd):
     got = lines.line_report(odd).collect()
     assert len(got) == len(ODD) and lines.line_report(empty(odd)).count() == 0
