@@ -639,3 +639,14 @@ def test_pipeline_stages(spark):
     assert len({r["text"] for r in left}) == len(left)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, ROOT)
     assert last.columns == [*columns, "ids"] and last.count() == len(left)
+
+
+def test_a_sieve_loses_nothing_and_keeps_most_others_out(spark):
+    from tidemark.llm.frames import sieve
+
+    some = spark.range(0, 40_000, 2).withColumnRenamed("id", "v")
+    got = spark.range(40_000).withColumn("in", sieve(some)(F.col("id"))).groupBy((F.col("id") % 2).alias("odd"), "in").count().collect()
+    by = {(r["odd"], r["in"]): r["count"] for r in got}
+    assert by[0, True] == 20_000 and (0, False) not in by and by[1, True] < 2_500
+    none = sieve(some.where("v < 0"))
+    assert spark.range(100).where(none(F.col("id"))).count() == 0

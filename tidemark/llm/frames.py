@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.session import cut, read_table, shared_dir  # noqa: F401
@@ -46,3 +49,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Bits of the largest sieve: 4 MB.
+SIEVE = 1 << 25
+
+
+def sieve(values: DataFrame) -> Callable[[Column], Column]:
+    """A test that every value of the one column of `values` passes, and of other values about one in sixteen; more where `values`
+    has more than SIEVE / 16 rows, as its bits are bounded. It keeps rows that find no partner out of a shuffle; the join decides."""
+    size = min(SIEVE, max(1 << 15, 1 << (16 * values.count()).bit_length()))
+    place = lambda v: F.pmod(F.xxhash64(v), F.lit(size)) + 1
+    at = values.select(place(F.col(values.columns[0])).alias("at"))
+    bits = np.zeros(size // 8, np.uint8)
+    # 4 096 bytes a row
+    for r in at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = values.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        k = at.to_numpy() - 1
+        return pd.Series((shared.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda v: passes(place(v))

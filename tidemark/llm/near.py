@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.blocks import attach, buffers
 from tidemark.llm.components import components
-from tidemark.llm.frames import cut, stored
+from tidemark.llm.frames import cut, sieve, stored
 from tidemark.llm.simhash import SEED, fingerprint, links
 
 #: Documents drawn to see which shingles are common, and how many of these are known; both only order the shingles and lose no pair.
@@ -189,9 +189,10 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
     home = F.xxhash64("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("many") / PARTNERS)))
     dealt = pairs.join(many, "u").select("u", "v", home.alias("home"))
     roles = dealt.select("home", F.col("u").alias("node"), F.lit(0).alias("role")).distinct().unionByName(dealt.select("home", F.col("v").alias("node"), F.lit(1).alias("role")))
-    # written first, so that Spark knows its size: the texts are shuffled for this join only where those asked for are many
     asked = stored(roles.join(nodes.select("node", "key"), "node"), "asked")
-    sent = texts.join(asked, "key").select("home", "role", "node", "__text")
+    # texts that nobody asks for are not shuffled
+    wanted = sieve(asked.select("key").distinct())
+    sent = texts.where(wanted(F.col("key"))).join(asked.hint("merge"), "key").select("home", "role", "node", "__text")
 
     def run(batches):
         hub, hub_set, at = None, None, None
@@ -255,16 +256,23 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _one_of_each(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each key in `kept`. Whole rows are shuffled only where most keys repeat or a list of keys is too large to send: keys that
-    stand once need no comparison of rows, and the shorter list, of those or of the others, meets the rows. kept: keys, stays."""
+    """One row of each key in `kept`. Keys that stand once need no comparison of rows, and the shorter list, of those or of the others, meets
+    the rows; rows that a sieve of the list tells apart from it are not shuffled. kept: keys, stays."""
     told = rows.groupBy(*keys).agg(F.count("*").alias("n")).join(kept, keys, "left")
     told = cut(told.select(*keys, F.when(F.col("stays").isNull(), "gone").when(F.col("n") > 1, "again").otherwise("once").alias("state")))
     many = {r["state"]: r["count"] for r in told.groupBy("state").count().collect()}
-    chosen = lambda cond: stored(told.where(cond).select(*keys), "chosen")
+
+    def split(cond):
+        """The rows of keys with these states, and all others."""
+        chosen = stored(told.where(cond).select(*keys), "chosen")
+        listed = sieve(chosen.select(F.xxhash64(*keys).alias("v")))(F.xxhash64(*keys))
+        near = rows.where(listed)
+        return near.join(chosen, keys, "left_semi"), rows.where(~listed).unionByName(near.join(chosen, keys, "left_anti"))
+
     if many.get("once", 0) < many.get("gone", 0) + many.get("again", 0):
-        out = rows.join(chosen("state = 'once'"), keys, "left_semi")
+        out = split("state = 'once'")[0]
     else:
-        out = rows.join(chosen("state <> 'once'"), keys, "left_anti")
+        out = split("state <> 'once'")[1]
     if many.get("again"):
-        out = out.unionByName(rows.join(chosen("state = 'again'"), keys, "left_semi").dropDuplicates(keys))
+        out = out.unionByName(split("state = 'again'")[0].dropDuplicates(keys))
     return out
