@@ -20,6 +20,18 @@ from tidemark.plans.series import with_ordinal
 from tidemark.session import cut
 
 FEATURES = "features"
+#: Rows that a task of a fit should read at most.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows checkpointed, and dealt over more tasks where those that made them hold many: every tree and level reads them again, so
+    a table of a few large files would keep all but a few cores idle. Small tables keep their tasks."""
+    kept = cut(df)
+    rows = kept.count()
+    if rows <= TASK_ROWS * kept.rdd.getNumPartitions():
+        return kept
+    return cut(kept.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))))
 
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
@@ -82,7 +94,7 @@ def time_folds(df: DataFrame, time: str, ties: Sequence[str], k: int = 5, key: s
 
 def cross_validate(folded: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str], label: str, k: int, **params) -> DataFrame:
     """Predictions of every fold by a model trained on the rows before it."""
-    kept = cut(folded)
+    kept = dealt(folded)
     out = None
     for f in range(k):
         train = kept.where(F.col("fold").isNull() | (F.col("fold") < f))
@@ -185,7 +197,7 @@ def score_registered(routed: DataFrame, models: DataFrame, numeric: Sequence[str
 
 def compare_regressors(train: DataFrame, test: DataFrame, kinds: dict[str, dict], numeric, categorical, label: str, ids: Sequence[str], top: int = 3) -> DataFrame:
     """Metrics of every regressor and of the mean of the best `top` by R²."""
-    train, test = cut(train), cut(test)
+    train, test = dealt(train), dealt(test)
     joined, scores = test.select(*ids, label), []
     for name, params in kinds.items():
         p = predict(fit(train, params.get("kind", name), numeric, categorical, label, **{k: v for k, v in params.items() if k != "kind"}), test)
@@ -225,7 +237,7 @@ def rule_ensemble(df: DataFrame, configs: Sequence[dict], split: str, time: str
 def stack(train: DataFrame, test: DataFrame, kinds: dict[str, dict], numeric, categorical, label: str, ids: Sequence[str], folds: int = 3, **meta) -> DataFrame:
     """Stacked prediction of the test rows: base models predict held-out folds, a boosted meta model
     learns from those, the base models refitted on all training rows feed it for the test."""
-    t = cut(train.withColumn("__fold", F.pmod(F.xxhash64(*ids), F.lit(folds))))
+    t = dealt(train.withColumn("__fold", F.pmod(F.xxhash64(*ids), F.lit(folds))))
     names = list(kinds)
     learned, asked = t, test
     for name, params in kinds.items():
@@ -262,7 +274,7 @@ def screen_categories(df: DataFrame, cols: Sequence[str], label: str, is_train:
 
 def screen_groups(train: DataFrame, test: DataFrame, groups: dict[str, tuple[Sequence[str], Sequence[str]]], label: str, **params) -> DataFrame:
     """Random forest per group of variables (numeric, categorical)."""
-    train, test = cut(train), cut(test)
+    train, test = dealt(train), dealt(test)
     out = None
     for name, (numeric, categorical) in groups.items():
         m = regression_metrics(predict(fit(train, "forest", numeric, categorical, label, **params), test), actual=label, names=["rmse", "r2"])
