@@ -322,6 +322,33 @@ def test_rolling_percentiles_match_brute_force(spark, both):
         np.testing.assert_allclose(have, np.quantile(want, probs) if len(want) else [np.nan] * 5, rtol=1e-12)
 
 
+@pytest.mark.parametrize("span_rows, piece_rows, slice_rows", [(10**6, 1, 10**6), (10**6, 60, 10**6), (10**6, 10**6, 10**6), (0, 1, 10**6), (0, 1, 40)])
+def test_percentiles_by_piece_and_by_digit_agree_with_brute_force(spark, monkeypatch, span_rows, piece_rows, slice_rows):
+    monkeypatch.setattr(slices, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(win, "SPAN_ROWS", span_rows)
+    monkeypatch.setattr(win, "PIECE_ROWS", piece_rows)
+    monkeypatch.setattr(win, "ASKS", 7)
+    pdf = pd.concat([events(350)] + [events(350).iloc[:60]])
+    pdf["v"] = (pdf["v"] - pdf["v"].mean()).round(1)
+    pdf.loc[pdf["id"] % 11 == 0, "v"] = None
+    pdf.loc[pdf["id"] % 13 == 0, "key"] = None
+    df = frame(spark, pdf).withColumn("t", F.when(F.col("id") % 17 != 0, F.col("t")))
+    probs = (0.0, 0.25, 0.5, 0.95, 1.0)
+    out = win.rolling_percentiles(df, ["key"], "t", "v", 24, probs)
+    text = out._jdf.queryExecution().toString()
+    assert ("FlatMapGroupsInArrow" in text) == (span_rows > 0)
+    got = out.toPandas()
+    assert len(got) == len(pdf)
+    names = [f"percentile_{round(p * 100)}" for p in probs]
+    assert got.loc[got["id"] % 17 == 0, names].isna().all(axis=None)
+    pdf = pdf[pdf["id"] % 17 != 0]
+    for r in got[got["id"] % 17 != 0].itertuples():
+        same = pdf["key"].isna() if r.key is None or r.key != r.key else pdf["key"] == r.key
+        want = pdf[same & (pdf["t"] <= r.t) & (pdf["t"] > r.t - pd.Timedelta(hours=24))]["v"].dropna()
+        have = [getattr(r, n) for n in names]
+        np.testing.assert_allclose(np.array(have, float), np.quantile(want, probs) if len(want) else [np.nan] * 5, rtol=1e-12, atol=1e-12)
+
+
 def test_percentiles_of_one_instant_and_one_value(spark, both):
     df = frame(spark, pd.DataFrame({"id": range(120), "key": "a", "t": T0, "v": [float(i % 3) for i in range(120)]}))
     assert {r["percentile_50"] for r in win.rolling_percentiles(df, ["key"], "t", "v").collect()} == {1.0}
