@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, language, lines, near, pieces
 from tidemark.llm.frames import read_table, stored
+from tidemark.session import bound_batches
 
 #: A public tokenizer's model file, read on the driver; never copied into the repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -16,6 +17,7 @@ LEAST = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the network is learned from the labelled documents of this input."""
+    bound_batches(spark)
     return language.accept(docs, language.fit(docs), LEAST)
 
 
@@ -27,6 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are similar to 0.8 or more."""
+    bound_batches(spark)
     return near.first_of_each(docs)
 
 
@@ -37,6 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the piece ids of their texts."""
+    bound_batches(spark)
     return pieces.encode(docs, pieces.shared_coder(docs.select("text"), pieces.load(MODEL)))
 
 

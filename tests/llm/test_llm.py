@@ -7,8 +7,10 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -650,3 +652,48 @@ def test_a_sieve_loses_nothing_and_keeps_most_others_out(spark):
     assert by[0, True] == 20_000 and (0, False) not in by and by[1, True] < 2_500
     none = sieve(some.where("v < 0"))
     assert spark.range(100).where(none(F.col("id"))).count() == 0
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        got = work()
+        return got, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_pairs_are_formed_in_small_chunks(monkeypatch):
+    rng = np.random.default_rng(5)
+    token, node = np.repeat(np.arange(3), 1000), np.tile(np.arange(1000), 3)
+    columns = token, node, node // 2, rng.integers(200, 220, 1000)[node], rng.integers(0, 20, len(node))
+    run = lambda: sum(len(u) for u, _, _ in near._unlinked(*columns, 0.8))
+    few, peak = peak_of(run)
+    assert peak < 60 << 20
+    monkeypatch.setattr(near, "PAIRS", 10**9)
+    assert few == run() > 1_000_000
+
+
+def test_a_bucket_is_searched_in_small_chunks(monkeypatch):
+    rng = np.random.default_rng(6)
+    prints, bucket = np.unique(rng.integers(0, 1 << 24, 4000)).astype(np.uint64), None
+    prints = prints[np.argsort(simhash.gray_rank(prints))]
+    bucket = np.zeros(len(prints), np.int64)
+    few, peak = peak_of(lambda: simhash.link(bucket, prints, 3))
+    monkeypatch.setattr(simhash, "WORK", 10**9)
+    want, most = peak_of(lambda: simhash.link(bucket, prints, 3))
+    assert (few == want).all() and peak < most / 2
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    texts = [(k, f"{k} " + "many words " * 2000) for k in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(1)
+    corpus_pipeline.near_dedup(spark, docs, ROOT)
+    sizes = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) == 900 and max(sizes) < 300
+    spark.conf.set(key, "1000")
+    corpus_pipeline.near_dedup(spark, docs.limit(1), ROOT)
+    assert spark.conf.get(key) == "1000"
+    spark.conf.unset(key)

@@ -22,6 +22,8 @@ AHEAD = 8
 SHARED = 4
 #: Partners of one text that a task compares at most.
 PARTNERS = 512
+#: Pairs that a task forms at once.
+PAIRS = 250_000
 #: Less than any difference of the bounds, so that rounding never drops a pair.
 EPS = 1e-9
 
@@ -132,7 +134,7 @@ def _unlinked(token: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.nd
     high = np.searchsorted(key, (group[q] << 32) | np.floor(size[q] / similarity + EPS).astype(np.int64), "right")
     work, lo = np.concatenate([[0], np.cumsum(high - low)]), 0
     while lo < len(q):
-        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + 2_000_000, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + PAIRS, "right")) - 1)
         many = high[lo:hi] - low[lo:hi]
         a = np.repeat(q[lo:hi], many)
         b = np.arange(work[hi] - work[lo]) - np.repeat(work[lo:hi] - work[lo], many) + np.repeat(low[lo:hi], many)

@@ -16,6 +16,8 @@ SEED = 42
 FANOUT = 8
 #: A bucket above this is dealt again by more of its bits, so that one task never holds an unbounded group.
 BUCKET = 4096
+#: Pairs of a query and a row of its bucket that a task searches at once.
+WORK = 1_000_000
 
 
 def fingerprint(raw: bytes, words: int = 3) -> int:
@@ -111,7 +113,7 @@ def link(bucket: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
     lo = 0
     work = np.concatenate([[0], np.cumsum(size)])
     while lo < len(prints):
-        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + 4_000_000, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + WORK, "right")) - 1)
         q = np.arange(lo, hi)[size[lo:hi] > 1]
         a, b = index.pairs(prints, q, top[q], most)
         a, b = a[b < a], b[b < a]
